@@ -80,3 +80,8 @@ def packed(a: np.ndarray) -> bytes:
 
 def unpacked(blob: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts may be long: keep few rows in an Arrow batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
