@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, quality, simhash_dedup, tokencount, urlfilter
+from . import fingerprints, mixing, quality, simhash_dedup, tokencount, urlfilter, wordtable
 
 
 def vocabulary(name: str) -> str:
@@ -43,6 +43,10 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordtable.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
@@ -50,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filters": op7_url_filters,
     "op8_source_mixing": op8_source_mixing,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_bpe_round_trip": op10_bpe_round_trip,
 }
 ORACLES: dict[str, str] = {"op8_source_mixing": mixing.ORACLE}
