@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, lm, mixing, quality, simhash_dedup, tokencount, urlfilter, wordtable
+from . import fingerprints, lm, mixing, quality, simhash_dedup, tokencount, urlfilter, warc, wordtable
 
 
 def vocabulary(name: str) -> str:
@@ -35,6 +35,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"))
 
@@ -56,9 +60,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_rules": op5_quality_rules,
+    "op6_warc_round_trip": op6_warc_round_trip,
     "op7_url_filters": op7_url_filters,
     "op8_source_mixing": op8_source_mixing,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_bpe_round_trip": op10_bpe_round_trip,
 }
-ORACLES: dict[str, str] = {"op8_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op6_warc_round_trip": warc.ORACLE, "op8_source_mixing": mixing.ORACLE}
