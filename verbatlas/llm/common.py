@@ -85,3 +85,13 @@ def unpacked(blob: bytes, dtype) -> np.ndarray:
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Texts may be long: keep few rows in an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def folded(docs: DataFrame, *apart: str) -> DataFrame:
+    """The columns ``apart``, and the others as one struct ``_row``, out of reach of an operator's own names."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in apart]
+    return docs.select(*apart, F.struct(*others, F.lit(True).alias("_")).alias("_row"))
+
+
+def unfolded(rows: DataFrame, columns: list[str], *apart: str) -> DataFrame:
+    return rows.select(*[F.col(c) if c in apart else F.col("_row").getField(c).alias(c) for c in columns])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import folded, n_words, unfolded
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -78,8 +78,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken (none to ``most`` times, rounded up)."""
-    x = mix(docs, **how)
-    return x.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    x = mix(folded(docs, "doc_id", "text", "source"), **how)
+    x = x.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return unfolded(x, docs.columns, "doc_id", "text", "source")
 
 
 ORACLE = r"""

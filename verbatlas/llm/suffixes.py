@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, utf8, written
+from .common import folded, partitions, small_batches, unfolded, utf8, written
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
@@ -463,7 +463,8 @@ def kept_bytes(raw: bytes, found: list[int] | None) -> tuple[bytes, int, int]:
 
 
 def removed(docs: DataFrame, extra: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row, with ``extra`` columns and the ``kept`` bytes if asked.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row, with ``extra`` columns and the ``kept`` text if asked
+    (without what a cut leaves of a character).
 
     A null or empty text has no bytes. Texts under 200 bytes lose nothing. Matches never cross
     documents; a row that repeats another's id and text is another place of all its strings, as is
@@ -479,7 +480,14 @@ def removed(docs: DataFrame, extra: tuple[str, ...] = (), texts: bool = False) -
             raw = [utf8(t) for t in b.column("text").to_pylist()]
             out = [kept_bytes(r, s) for r, s in zip(raw, b.column("spans").to_pylist(), strict=True)]
             columns = [pa.array(list(map(len, raw)), pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([sha256(x[0]).hexdigest() for x in out], pa.string())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(c) for c in extra], *columns, *([pa.array([x[0] for x in out], pa.binary())] if texts else [])], names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(c) for c in extra], *columns, *([pa.array([x[0].decode("utf-8", "ignore") for x in out], pa.string())] if texts else [])], names)
 
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ("doc_id", *extra)] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept binary"] * texts)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ("doc_id", *extra)] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept string"] * texts)
     return rows.join(found, ["k1", "k2"], "left").drop("k1", "k2").mapInArrow(cut, schema)
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with repeated strings cut out of ``text``, and ``n_chars``, where it is there, counted anew."""
+    x = removed(folded(docs, "doc_id", "text"), ("_row",), texts=True).withColumn("text", F.col("kept"))
+    out = unfolded(x, docs.columns, "doc_id", "text")
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

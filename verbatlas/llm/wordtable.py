@@ -144,8 +144,10 @@ def check_of(words: list[str]) -> bytes:
     return sha256(" ".join(words).encode("utf-8", "surrogatepass")).digest()[:16]
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids, decoded``: ids as little-endian 32-bit numbers, and the text they decode to, of every row.
+def encoded(docs: DataFrame, path: str, full: bool = True) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, if ``full`` also ``ids`` and the text ``decoded`` from them.
+
+    The digests are of the ids as little-endian 32-bit numbers and of the decoded text in UTF-8.
 
     As the library encodes with the vocabulary file at ``path``, without special tokens of its own,
     and decodes with special tokens kept. A null or empty text has no ids and decodes to an empty
@@ -224,13 +226,9 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         digest = lambda x: sha256(x).hexdigest()
         return pa.table({
             "doc_id": pa.array(out[0], b_kind), "n_tokens": pa.array([len(x) // 4 for x in out[1]], pa.int64()), "ids_sha256": pa.array(list(map(digest, out[1])), pa.string()),
-            "decoded_sha256": pa.array([digest(x.encode("utf-8", "surrogatepass")) for x in out[2]], pa.string()), "ids": pa.array(out[1], pa.binary()), "decoded": pa.array(out[2], pa.string())})
+            "decoded_sha256": pa.array([digest(x.encode("utf-8", "surrogatepass")) for x in out[2]], pa.string())} | ({
+            "ids": pa.array([np.frombuffer(x, "<i4") for x in out[1]], pa.list_(pa.int32())), "decoded": pa.array(out[2], pa.string())} if full else {}))
 
     ids = docs.mapInArrow(word_rows, "block long, bucket int, words binary, check binary").groupBy("bucket").applyInPandas(encode_bucket, "block long, bucket int, ids binary, check binary")
     sequences = docs.mapInArrow(sequence_rows, f"block long, doc_ids array<{kind}>, lengths array<long>, sequence binary, places binary, check binary")
-    return sequences.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(joined, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string")
-
-
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row."""
-    return encoded(docs, path).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return sequences.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(joined, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full)
