@@ -58,8 +58,9 @@ def selectivity(occ: DataFrame, totals: DataFrame) -> DataFrame:
     own = occ.groupBy(*keys, "verb").agg(F.sum("vac_freq").alias("a"))
     groups = own.select(*keys).distinct()
     grid = groups.join(totals.select("stratum", "verb", F.col("n_verb_tokens").alias("b")), "stratum")
-    same = [own[k].eqNullSafe(grid[k]) for k in (*keys, "verb")]
-    x = own.join(grid, same, "full_outer").select(*[F.coalesce(own[k], grid[k]).alias(k) for k in keys], F.coalesce("a", F.lit(0)).cast("double").alias("a"), F.coalesce("b", F.lit(0)).cast("double").alias("b"))
+    own, grid = own.alias("o"), grid.alias("t")
+    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"t.{k}")) for k in (*keys, "verb")]
+    x = own.join(grid, same, "full_outer").select(*[F.coalesce(f"o.{k}", f"t.{k}").alias(k) for k in keys], *[F.coalesce(n, F.lit(0)).cast("double").alias(n) for n in ("a", "b")])
 
     def tau(f: pd.DataFrame) -> pd.DataFrame:
         n = len(f)
@@ -88,7 +89,7 @@ def cumulative_types(hits: DataFrame, mlu: DataFrame, stratum: str = "Child I")
 
     A type counts at its first hit in that order; ties go by utterance and verb.
     """
-    x = hits.where(F.col("stratum") == stratum).join(mlu.select("utterance_id", "mlu_w"), "utterance_id", "left").withColumn("vac", c.construction_key("construction", "preposition"))
+    x = hits.drop("mlu_w").where(F.col("stratum") == stratum).join(mlu.select("utterance_id", "mlu_w"), "utterance_id", "left").withColumn("vac", c.construction_key("construction", "preposition"))
     order = [F.col("mlu_w").asc_nulls_last(), F.col("utterance_id"), F.col("verb")]
     x = x.withColumn("_new", (F.row_number().over(Window.partitionBy("vac", "verb").orderBy(*order)) == 1).cast("int"))
     running = Window.partitionBy("vac").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
