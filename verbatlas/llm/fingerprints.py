@@ -74,10 +74,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     tops = tops.select("range", F.coalesce(F.lead("top").over(Window.orderBy(F.col("range").desc())), F.max("top").over(Window.partitionBy())).alias("below"))
     after = F.lead("run").over(Window.partitionBy("range").orderBy(F.col("run").desc()))
     chain = ranges.withColumn("_next", after).join(tops, "range").select("run", F.coalesce("_next", "below").alias("below"))
-    heads = runs.select(F.col("run").alias("below"), F.col("head").alias("doc_id"))
-    first = x.withColumnRenamed("run", "below").join(heads.withColumnRenamed("doc_id", "_head"), "below").where("doc_id <=> _head").groupBy("below").agg(F.min("text").alias("head_text"))
-    first = chain.join(first, "below").select("run", "head_text")
-    x = x.withColumns({"next": F.lead("text").over(order), "_last": F.lead(F.lit(1)).over(order).isNull()})
+    # the heads come out of the same exchange as the order, so texts are shuffled once
+    x = x.withColumns({"next": F.lead("text").over(order), "_last": F.lead(F.lit(1)).over(order).isNull(), "_n": F.row_number().over(order)})
+    heads = x.where("_n = 1").select(F.col("run").alias("below"), F.col("text").alias("head_text"))
+    first = chain.join(heads, "below").select("run", "head_text")
     return x.join(first, "run").select("doc_id", "text", F.when(F.col("_last"), F.col("head_text")).otherwise(F.col("next")).alias("next"))
 
 
