@@ -117,6 +117,15 @@ def cumulative_curves(counts: DataFrame, width: float = lx.BIN_MONTHS, exposure:
     return x.withColumns({"n_tokens": F.sum("bin_tokens").over(w), "cumulative_share": running / F.when(total == 0, F.lit(1.0)).otherwise(total)})
 
 
+def schematic_curves(hits: DataFrame, items: DataFrame, exposure: DataFrame | None = None) -> DataFrame:
+    """Curves of given schematic ``items(vac, verb)`` over three-month bins, whatever is marked extra."""
+    kids = hits.where(c.is_child("speaker_role") & F.col("target_child_age").isNotNull()).withColumn("verb", F.lower("verb"))
+    kids = kids.join(items.select(F.col("vac").alias("construction"), F.lower("verb").alias("verb")).distinct(), ["construction", "verb"], "left_semi")
+    item = F.concat("construction", F.lit("|"), "verb")
+    counts = kids.groupBy(F.col("construction").alias("vac"), "verb", item.alias("item"), F.lit("schematic").alias("grain"), c.age_bin("target_child_age").alias("age_months"))
+    return cumulative_curves(counts.agg(F.count("*").alias("bin_tokens")), exposure=exposure)
+
+
 def frequent_schematic(order: DataFrame, top_n: int = lx.TOP_ITEMS) -> DataFrame:
     """The most used schematic items of each construction, ranked anew by median first age."""
     x = order.where((F.col("grain") == "schematic") & F.col("vac").isin(*lx.SCHEMATIC))

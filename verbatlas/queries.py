@@ -131,6 +131,33 @@ def coverage_audit(spark: SparkSession, d: str) -> DataFrame:
     return rounded(x, "pos_rate", "gra_rate", "parsed_rate")
 
 
+@query(f"""
+with h as ({HITS_SQL}), v as (select case when {CHILD} and target_child_age < 36 then ['Child I'] when {CHILD} and target_child_age < 72 then ['Child II']
+  when speaker_role in ('Mother', 'Father') and target_child_age < 37 then ['Parent Young', 'Parent All'] when speaker_role in ('Mother', 'Father') and target_child_age < 72 then ['Parent All'] end as s, coalesce(preposition, verb) as verb from h where construction in ('VL', 'VO'))
+select stratum, verb, count(*) as n_verb_tokens from (select unnest(s) as stratum, verb from v) group by all
+""")
+def verb_token_totals(spark: SparkSession, d: str) -> DataFrame:
+    x = hits(spark, d).withColumns({"part_of_speech": F.when(F.col("construction").isin("VL", "VO"), " Verb "), "stem": F.col("preposition"), "gloss": F.col("verb")})
+    return ct.verb_token_totals(x)
+
+
+@query(f"""
+with h as ({HITS_SQL}) select case when {CHILD} and target_child_age < 36 then 'Child I' when {CHILD} and target_child_age < 72 then 'Child II' when speaker_role in ('Mother', 'Father') and target_child_age < 37 then 'Parent Young'
+  when speaker_role in ('Mother', 'Father') and target_child_age < 72 then 'Parent All' end as stratum, count(*) as n from h group by 1
+""")
+def narrowest_strata(spark: SparkSession, d: str) -> DataFrame:
+    return hits(spark, d).groupBy(c.narrowest_stratum("speaker_role", "target_child_age").alias("stratum")).agg(F.count("*").alias("n"))
+
+
+@query("""
+with t as (select o_custkey as u, case when o_totalprice > 300000 then 'verb' end as p, o_orderpriority <> '5-LOW' as word from orders)
+select state, count(*) as n_utterances from (select case when count(*) filter (word) > 0 and count(*) filter (word and p is not null) = 0 then 'unparsed' when count(*) > count(p) then 'partial' else 'parsed' end as state from t group by u) group by 1
+""")
+def utterance_states(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("utterance_id"), F.when(F.col("o_totalprice") > 300000, "verb").alias("part_of_speech"), F.when(F.col("o_orderpriority") == "5-LOW", "&um").otherwise("word").alias("gloss"))
+    return fill.fill_status(o)
+
+
 @query("""
 select o_orderkey, o_custkey, o_orderstatus, o_totalprice, c_mktsegment, c_nationkey from orders left join customer on o_custkey = c_custkey
 where o_orderpriority in ('1-URGENT', '2-HIGH') and o_totalprice >= 365.25 * 12 and o_totalprice < 365.25 / 12 * 72 * 1000
@@ -342,6 +369,36 @@ def km_median(spark: SparkSession, d: str) -> DataFrame:
     return rounded(survival.km_median(survival.km_curve(event_times(spark, d), ["item"]), ["item"]), "km_s_end")
 
 
+@query(f"""
+with {KM_SQL}, m as (select item, min(case when survival <= 0.5 + 1e-12 then t end) as km_median from km where b > 0 group by item)
+select vac, verb, count(*) as n_risk, sum(event)::bigint as n_event, count(*) filter (event = 0) as n_censored, sum(left_censored)::bigint as n_left_censored,
+  round(median(case when event = 1 then time end), 9) as naive_median, any_value(km_median) as km_median, any_value(km_median) is not null as median_reached from times left join m using (item) group by vac, verb
+""")
+def censored_summary(spark: SparkSession, d: str) -> DataFrame:
+    x = survival.aoa_summary(event_times(spark, d), n_boot=20)
+    return rounded(x.select("vac", "verb", "n_risk", "n_event", "n_censored", "n_left_censored", "naive_median", "km_median", "median_reached"), "naive_median")
+
+
+@query(f"""
+with {GRAINS_SQL}, k as (select construction as vac, verb, cast(least(greatest(floor((target_child_age - 12) / 3) * 3 + 12, 12), 69) as int) as age_months from h where {CHILD} and construction = 'VO'),
+n as (select vac, verb, age_months, count(*) as bin_tokens from k group by all), grid as (select * from (select distinct vac, verb from n) cross join (select unnest(range(12, 72, 3))::int as age_months))
+select vac, verb, age_months, coalesce(bin_tokens, 0) as bin_tokens, round(sum(coalesce(bin_tokens, 0)) over (partition by vac, verb order by age_months rows unbounded preceding)::double / sum(bin_tokens) over (partition by vac, verb), 9) as cumulative_share from grid left join n using (vac, verb, age_months)
+""")
+def schematic_curves(spark: SparkSession, d: str) -> DataFrame:
+    h = hits(spark, d)
+    items = h.where("construction = 'VO'").select(F.col("construction").alias("vac"), "verb").distinct()
+    return rounded(aq.schematic_curves(h, items).select("vac", "verb", "age_months", "bin_tokens", "cumulative_share"), "cumulative_share")
+
+
+@query(f"""
+with {SPANS_SQL}, half as (select target_child_id as child_id, min(target_child_age) as first_obs, max(target_child_age) as last_obs from e group by target_child_id, value > 50)
+select child_id, min(first_obs) as first_obs, max(last_obs) as last_obs from half group by 1
+""")
+def merged_spans(spark: SparkSession, d: str) -> DataFrame:
+    e = event_hits(spark, d)
+    return aq.merged_spans(aq.observation_spans(e.where("value > 50")).union(aq.observation_spans(e.where("not value > 50"))))
+
+
 @query()
 def km_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return survival.aoa_summary(event_times(spark, d), n_boot=200)
