@@ -40,8 +40,9 @@ def swarm(times: DataFrame, step: float = 1.0) -> DataFrame:
 
 
 def extremes(exposure: DataFrame) -> DataFrame:
-    """The age bins with most and least tokens, and all tokens."""
-    return exposure.agg(F.max_by("age_months", "exposure_tokens").alias("most_at"), F.min_by("age_months", "exposure_tokens").alias("least_at"), F.sum("exposure_tokens").alias("tokens"))
+    """The age bins with most and least tokens, of equal ones the first, and all tokens."""
+    most, least = F.struct("exposure_tokens", -F.col("age_months")), F.struct("exposure_tokens", "age_months")
+    return exposure.agg(F.max_by("age_months", most).alias("most_at"), F.min_by("age_months", least).alias("least_at"), F.sum("exposure_tokens").alias("tokens"))
 
 
 def source_histogram(tokens: DataFrame) -> DataFrame:

@@ -621,7 +621,7 @@ def source_histogram(spark: SparkSession, d: str) -> DataFrame:
     return reports.source_histogram(table(spark, d, "orders").select(F.when(F.col("o_totalprice") > 200000, "childesdb").alias("parse_source")))
 
 
-@query(f"with {GRAINS_SQL}, x as (select least(greatest(floor((target_child_age - 12) / 3) * 3 + 12, 12), 69)::int as a, count(*) as n from h where {CHILD} group by 1) select max_by(a, n) as most_at, min_by(a, n) as least_at, sum(n)::bigint as tokens from x")
+@query(f"with {GRAINS_SQL}, x as (select least(greatest(floor((target_child_age - 12) / 3) * 3 + 12, 12), 69)::int as a, count(*) as n from h where {CHILD} group by 1) select max_by(a, n * 1000 - a) as most_at, min_by(a, n * 1000 + a) as least_at, sum(n)::bigint as tokens from x")
 def exposure_extremes(spark: SparkSession, d: str) -> DataFrame:
     return reports.extremes(aq.token_exposure(hits(spark, d)))
 
