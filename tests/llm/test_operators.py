@@ -360,7 +360,7 @@ def test_bpe_round_trip(spark):
         text = TOKENIZER.decode(ids, skip_special_tokens=False)
         assert (list(r.ids), r.decoded, r.n_tokens) == (ids, text, len(ids))
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
-    assert wordtable.encoded(x.limit(0), WORDS, full=False).count() == 0
+    assert wordtable.encoded(x.limit(0), WORDS, ids=False, decoded=False).count() == 0
 
 
 def test_near_duplicates_odd(spark):

@@ -56,7 +56,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordtable.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), full=False)
+    return wordtable.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), ids=False, decoded=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -144,8 +144,8 @@ def check_of(words: list[str]) -> bytes:
     return sha256(" ".join(words).encode("utf-8", "surrogatepass")).digest()[:16]
 
 
-def encoded(docs: DataFrame, path: str, full: bool = True) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, if ``full`` also ``ids`` and the text ``decoded`` from them.
+def encoded(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, and if asked the ``ids`` and the text ``decoded`` from them.
 
     The digests are of the ids as little-endian 32-bit numbers and of the decoded text in UTF-8.
 
@@ -156,7 +156,7 @@ def encoded(docs: DataFrame, path: str, full: bool = True) -> DataFrame:
     ``docs`` is read twice and must then hold the same rows in the same partitions, as a table does
     that is read from storage; a block whose two readings differ is an error.
     """
-    spark = docs.sparkSession
+    spark, with_ids = docs.sparkSession, ids
     small_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
     buckets = 4 * partitions(spark)
@@ -226,9 +226,9 @@ def encoded(docs: DataFrame, path: str, full: bool = True) -> DataFrame:
         digest = lambda x: sha256(x).hexdigest()
         return pa.table({
             "doc_id": pa.array(out[0], b_kind), "n_tokens": pa.array([len(x) // 4 for x in out[1]], pa.int64()), "ids_sha256": pa.array(list(map(digest, out[1])), pa.string()),
-            "decoded_sha256": pa.array([digest(x.encode("utf-8", "surrogatepass")) for x in out[2]], pa.string())} | ({
-            "ids": pa.array([np.frombuffer(x, "<i4") for x in out[1]], pa.list_(pa.int32())), "decoded": pa.array(out[2], pa.string())} if full else {}))
+            "decoded_sha256": pa.array([digest(x.encode("utf-8", "surrogatepass")) for x in out[2]], pa.string())} | (
+            {"ids": pa.array([np.frombuffer(x, "<i4") for x in out[1]], pa.list_(pa.int32()))} if with_ids else {}) | ({"decoded": pa.array(out[2], pa.string())} if decoded else {}))
 
-    ids = docs.mapInArrow(word_rows, "block long, bucket int, words binary, check binary").groupBy("bucket").applyInPandas(encode_bucket, "block long, bucket int, ids binary, check binary")
+    answers = docs.mapInArrow(word_rows, "block long, bucket int, words binary, check binary").groupBy("bucket").applyInPandas(encode_bucket, "block long, bucket int, ids binary, check binary")
     sequences = docs.mapInArrow(sequence_rows, f"block long, doc_ids array<{kind}>, lengths array<long>, sequence binary, places binary, check binary")
-    return sequences.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(joined, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full)
+    return sequences.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(joined, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * decoded)
