@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,35 +14,63 @@ from .common import small_batches, utf8
 from .hamming import near_components
 
 BITS = 128
-AT_ONCE = 1 << 14
+BYTES = BITS // 8
+#: What a term's vote weighs: pairs of words tell texts apart, single words hardly do.
+WORD, PAIR = 1, 4
+AT_ONCE = 1 << 16
 #: Documents whose ids agree but for so many low bits are put in order together.
 RUN_BITS = 10
+BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+BYTE_PLACES = 256 * np.arange(BYTES)
 
 
-def terms(text: str) -> Counter:
-    """Words and pairs of neighbouring words, A-Z lower-cased, with how often they occur."""
-    words = utf8(text).lower().split()
-    return Counter(map(b" ".join, zip(words, words[1:], strict=False))) + Counter(words)
+def hashed(terms) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, terms)), np.uint8).reshape(-1, BYTES)
 
 
-def weight(term: bytes, n: int) -> float:
-    """Pairs tell texts apart, single words hardly do; a term's repeats count less and less."""
-    return (1.0 if b" " in term else 0.25) * n**0.5
+class Terms:
+    """The words of a text (A-Z lower-cased) and the hashes of its terms, words and pairs of neighbouring words."""
 
+    def __init__(self, text: str):
+        self.words = utf8(text).lower().split()
+        self.word, self.pair = hashed(self.words), hashed(map(b" ".join, zip(self.words, self.words[1:], strict=False)))
 
-def fingerprint(text: str) -> tuple[int, int]:
+
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, from a count of each byte at each place."""
+    out = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), AT_ONCE):
+        counts = np.bincount((hashes[k : k + AT_ONCE] + BYTE_PLACES).ravel(), minlength=256 * BYTES)
+        out += (counts.reshape(BYTES, 256) @ BIT_TABLE).ravel()
+    return out
+
+
+def voted(*parts: tuple[int, np.ndarray]) -> tuple[int, int]:
     """Two words of 64 bits: each term's hash votes with its weight for and against each bit. Zero for no terms."""
-    found = list(terms(text).items())
-    votes, digest = np.zeros(BITS), xxhash.xxh3_128_digest
-    for k in range(0, len(found), AT_ONCE):
-        part = found[k : k + AT_ONCE]
-        bits = np.unpackbits(np.frombuffer(b"".join([digest(t) for t, _ in part]), np.uint8).reshape(-1, BITS // 8), axis=1)
-        w = np.array([weight(t, n) for t, n in part], np.float32)
-        votes += 2.0 * (w @ bits.astype(np.float32)) - w.sum()
-    words = np.packbits(votes > 1e-3).view(">i8")
+    votes = sum(w * (2 * ones(h) - len(h)) for w, h in parts)
+    words = np.packbits(votes > 0).view(">i8")
     return int(words[0]), int(words[1])
 
 
+def fingerprint(terms: Terms) -> tuple[int, int]:
+    return voted((WORD, terms.word), (PAIR, terms.pair))
+
+
+def edited_fingerprint(own: Terms, following: Terms, changed: str, kept: str, added: str) -> tuple[int, int]:
+    """The fingerprint of ``changed``, which is ``kept`` of one text and ``added`` of the next.
+
+    All but the words at the cuts are words of the two texts, whose hashes are there already.
+    """
+    e = utf8(changed).lower().split()
+    m, n = max(len(utf8(kept).split()) - 1, 0), len(utf8(added).split())
+    if m < 2 or n < 4:
+        return fingerprint(Terms(changed))
+    rest = len(e) - (n - 1)  # e is own.words[:m], e[m:rest], following.words[1 : n - 1], e[-1]
+    seam = e[m - 1 : rest + 1]
+    pairs = [*map(b" ".join, zip(seam, seam[1:], strict=False)), b" ".join(e[-2:])]
+    return voted((WORD, own.word[:m]), (WORD, following.word[1 : n - 1]), (WORD, hashed([*e[m:rest], e[-1]])), (PAIR, own.pair[: m - 1]), (PAIR, following.pair[1 : n - 2]), (PAIR, hashed(pairs)))
+
+
 def likeness(a: tuple[int, int], b: tuple[int, int]) -> float:
     """The cosine that the share of differing bits stands for, 0 at least; 1 for equal fingerprints."""
     d = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b, strict=True))
@@ -88,13 +115,14 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from hashlib import sha256
 
     for b in batches:
-        rows, before = [], (None, None)
+        rows, held = [], (None, None)
         for text, following in zip(b.column("text").to_pylist(), b.column("next").to_pylist(), strict=True):
-            changed = edited(text, following)
-            own = before[1] if before[0] == text else fingerprint(text)
-            other, after = fingerprint(changed), fingerprint(following)
-            before = (following, after)
-            rows.append((len(text), sha256(utf8(changed)).hexdigest(), *own, *other, likeness(own, other), likeness(own, after)))
+            own = held[1] if held[0] == text else Terms(text)
+            after = own if following == text else Terms(following)
+            held = following, after
+            changed, k = edited(text, following), len(text) // 3
+            prints = fingerprint(own), edited_fingerprint(own, after, changed, text[: len(text) - k], following[:k]), fingerprint(after)
+            rows.append((len(text), sha256(utf8(changed)).hexdigest(), *prints[0], *prints[1], likeness(prints[0], prints[1]), likeness(prints[0], prints[2])))
         columns = list(zip(*rows, strict=True)) or [[]] * 8
         kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4, pa.float64(), pa.float64()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", *[f.split()[0] for f in FIELDS.split(", ")]])
