@@ -12,6 +12,8 @@ from .common import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: Scores of up to this many hosts are broadcast to the pages; more are joined by a shuffle.
+BROADCAST_HOSTS = 200_000
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
 
@@ -82,7 +84,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, marg
     rule, verdict = first_rule(F.col("_host"), F.col("_path"), rules)
     x = x.withColumns({"_rule": rule, "_said": verdict})
     seeds = x.where("_said is not null and _host <> ''").groupBy(F.col("_host").alias("host")).agg(*[F.count_if(F.col("_said") == k).cast("double").alias(n) for k, n in (("allow", "good"), ("block", "bad"))])
-    scores = propagated(host_edges(x), seeds)
+    scores = cut(propagated(host_edges(x), seeds))  # a plain table, so that a join beyond the bound can split a host of many pages
+    scores = F.broadcast(scores) if scores.count() <= BROADCAST_HOSTS else scores
     by_host = F.when(F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)) + margin, F.lit("block")).otherwise(F.lit("allow"))
     return x.drop("html").join(scores.withColumnRenamed("host", "_host"), "_host", "left").select(
         "page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule"),
