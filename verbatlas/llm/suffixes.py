@@ -17,7 +17,9 @@ strings starting at ``low`` to ``high`` stands for the bytes low to high + LENGT
    merge, to the left from a comparison, and if both together reach LENGTH, that is removed.
    Suffixes that a run has more than once are settled there and go on once.
 4. A gram with over ``CROWD`` anchors in differing surroundings is no group for one task. There the
-   strings themselves meet by hash, once a task for each, which spreads them evenly.
+   strings meet by hash, which spreads them evenly: first in blocks of places before the anchor,
+   which are repeated as a whole or share no core with another, and then one by one in the blocks
+   that are left, those at the ends of what is repeated. A batch sends each block once.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,6 +45,8 @@ SPAN = LENGTH - GRAM + 1
 CROWD = 4096
 #: Groups up to this size compare their members; larger ones compare hashes of strings in the task.
 FEW = 8
+#: Places whose strings go together where anchors crowd.
+BLOCK = 28
 #: Bytes of text that are hashed at a time, and bytes of suffixes after which a run ends.
 PIECE, RUN = 1 << 21, 1 << 25
 LOW24 = np.uint64((1 << 24) - 1)
@@ -388,28 +393,63 @@ def _merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _span_rows(found)
 
 
-def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of crowded anchors: each string's hash once a batch, asking for an answer if the batch has it once."""
+NODES = "kind int, core long, whole long, k1 long, k2 long, low long, strings array<long>"
+
+
+def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of crowded anchors: the strings that start in a block of places before the anchor, as one row.
+
+    ``core`` hashes what all strings of the block share, wherever in it they start, and ``whole``
+    all of them. What a batch has twice is settled there (kind 2) and goes on once, without asking
+    for an answer (kind 0); the rest asks (kind 1).
+    """
+    h = xxhash.xxh64_intdigest
     for b in batches:
-        h, k1, k2, at = [], [], [], []
-        for text, a, c, places in zip(*(b.column(n).to_pylist() for n in ("text", "k1", "k2", "places")), strict=True):
-            raw = np.frombuffer(utf8(text), np.uint8)
+        rows: dict[tuple[int, int], list] = {}
+        settled = []
+        for text, k1, k2, places in zip(*(b.column(n).to_pylist() for n in ("text", "k1", "k2", "places")), strict=True):
+            raw = utf8(text)
             for place in set(places):
                 x = place >> 17
                 low, high = x - (place >> 9 & 255), x - (place >> 1 & 255)
-                own = gram_hashes(raw[low : high + LENGTH], LENGTH)
-                h.append(own), at.append(np.arange(low, high + 1)), k1.append(np.full(len(own), a)), k2.append(np.full(len(own), c))
-        if not h:
-            continue
-        h, k1, k2, at = (np.concatenate(x) for x in (h, k1, k2, at))
-        _, first, where, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        known = n[where] > 1
-        send = ~known
-        send[first] = True
-        ask = send & ~known
-        for mask, kind in ((send, 0), (known, 1)):
-            if mask.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[mask].view(np.int64) if kind == 0 else np.zeros(mask.sum(), np.int64)), pa.array(k1[mask]), pa.array(k2[mask]), pa.array(at[mask] << 20 | LENGTH), pa.array(np.full(mask.sum(), 2) if kind else ask[mask].astype(int), pa.int32())], ["h", "k1", "k2", "span", "kind"])
+                strings = gram_hashes(np.frombuffer(raw[low : high + LENGTH], np.uint8), LENGTH)
+                for k in range((x - high) // BLOCK, (x - low) // BLOCK + 1):
+                    first, last = max(low, x - k * BLOCK - BLOCK + 1), min(high, x - k * BLOCK)
+                    own = strings[first - low : last - low + 1]
+                    key = h(raw[x - k * BLOCK : x - k * BLOCK - BLOCK + 1 + LENGTH], k), h(own.tobytes())
+                    known = rows.get(key)
+                    if known is None:
+                        rows[key] = [1, k1, k2, first, own]
+                    else:
+                        settled.append((k1, k2, first, len(own)))
+                        if known[0]:
+                            known[0] = 0
+                            settled.append((*known[1:4], len(known[4])))
+        i64 = lambda v: np.array(v, np.uint64).view(np.int64)
+        kinds = [r[0] for r in rows.values()] + [2] * len(settled)
+        if kinds:
+            at = [r[1:4] for r in rows.values()] + [s[:3] for s in settled]
+            lists = [r[4].view(np.int64) for r in rows.values()] + [np.zeros(s[3], np.int64) for s in settled]
+            keys = list(rows) + [(0, 0)] * len(settled)
+            columns = [pa.array(kinds, pa.int32()), *(pa.array(i64([k[j] for k in keys])) for j in (0, 1)), *(pa.array([x[j] for x in at], pa.int64()) for j in range(3)), pa.array(lists, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "core", "whole", "k1", "k2", "low", "strings"])
+
+
+def _crowded_spans(nodes: DataFrame) -> DataFrame:
+    """``k1, k2, span`` of what is repeated: blocks that are so as a whole, then strings of those whose core is."""
+    whole = F.shiftleft("low", 20) + F.size("strings") + (LENGTH - 1)
+    live = nodes.where("kind < 2")
+    cores = live.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    live = live.join(cores, "core")
+    wholes = live.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "low")).alias("first"))
+    live = live.join(wholes, ["core", "whole"])
+    asks = (F.col("kind") == 1) & (F.col("n") == 1)
+    apart = live.where((F.col("n") == 1) | (F.struct("k1", "k2", "low") == F.col("first")))
+    strings = apart.select("k1", "k2", "low", asks.alias("asks"), F.posexplode("strings").alias("k", "h"))
+    twice = strings.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    found = strings.where("asks").join(twice, "h").select("k1", "k2", (F.shiftleft(F.col("low") + F.col("k"), 20) + LENGTH).alias("span"))
+    settled = nodes.where("kind = 2").select("k1", "k2", whole.alias("span"))
+    return found.union(settled).union(live.where("kind = 1 and n > 1").select("k1", "k2", whole.alias("span")))
 
 
 def keyed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -435,10 +475,7 @@ def spans(rows: DataFrame) -> DataFrame:
     runs = with_places(False).mapInArrow(_run_rows(parts), "part int, is_run boolean, blob binary")
     out = runs.repartitionById(parts, "part").mapInArrow(_merged_rows, SPANS)
     if crowded:
-        strings = with_places(True).mapInArrow(_string_rows, "h long, k1 long, k2 long, span long, kind int")
-        strings = written(strings, "crowded")
-        twice = strings.where("kind < 2").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-        out = out.union(strings.where("kind = 1").join(twice, "h").select("k1", "k2", "span")).union(strings.where("kind = 2").select("k1", "k2", "span"))
+        out = out.union(_crowded_spans(written(with_places(True).mapInArrow(_node_rows, NODES), "crowded")))
     again = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where(f"n > 1 and size >= {LENGTH}")
     out = out.union(again.select("k1", "k2", F.lit(-1).cast("long").alias("span")))
     return out.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
