@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, utf8
-from .hamming import near_components
+from .hamming import RADIUS, near_components
 
 BITS = 128
 BYTES = BITS // 8
 #: What a term's vote weighs: pairs of words tell texts apart, single words hardly do.
 WORD, PAIR = 1, 4
+#: The radius of op9's query: 16 of 128 bits are a cosine of 0.92.
+NEAR = 16
 AT_ONCE = 1 << 16
 #: Documents whose ids agree but for so many low bits are put in order together.
 RUN_BITS = 10
@@ -128,10 +130,10 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", *[f.split()[0] for f in FIELDS.split(", ")]])
 
 
-def fingerprinted(docs: DataFrame, neighbours: bool = True) -> DataFrame:
+def fingerprinted(docs: DataFrame, neighbours: bool = True, radius: int = RADIUS) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` and ``near_id``.
 
-    ``near_id`` is the least doc_id that links of at most two differing bits reach, found through
+    ``near_id`` is the least doc_id that links of at most ``radius`` differing bits reach, found through
     the permuted block tables of ``hamming``. A null text is empty; an empty text has the
     fingerprint zero. Equal texts, repeated rows and ties have equal fingerprints and a row each; a
     null doc_id comes last in the order. A single document is its own next. An empty table gives no rows.
@@ -145,5 +147,5 @@ def fingerprinted(docs: DataFrame, neighbours: bool = True) -> DataFrame:
     from .common import written
 
     x = written(x, "fingerprints")
-    found = near_components(x.select("f0", "f1", F.col("doc_id").alias("node")), ["f0", "f1"])
+    found = near_components(x.select("f0", "f1", F.col("doc_id").alias("node")), ["f0", "f1"], radius)
     return x.join(found, ["f0", "f1"], "left").select(*out, F.col("component").alias("near_id"))

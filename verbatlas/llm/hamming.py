@@ -1,4 +1,4 @@
-"""Links between fingerprints within two bits: block tables, bit planes, and midpoints for crowds."""
+"""Links between fingerprints within a radius: block tables, bit planes, and midpoints for crowds of radius two."""
 
 from __future__ import annotations
 
@@ -113,7 +113,7 @@ def _spanned(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
     return nodes[i], nodes[label[i]]
 
 
-def _bucket_links(words: int):
+def _bucket_links(words: int, radius: int = RADIUS):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for f in _and_last(frames):
@@ -128,7 +128,8 @@ def _bucket_links(words: int):
             part, rest = rest.iloc[:end], rest.iloc[end:]
             if len(part):
                 fp = part[[f"w{k}" for k in range(words)]].to_numpy().astype(np.int64).view(np.uint64)
-                a, b = _spanned(part["node"].to_numpy(), *sliced_links(fp, part["h"].to_numpy()))
+                links = sliced_links if radius <= RADIUS else wide_links
+                a, b = _spanned(part["node"].to_numpy(), *links(fp, part["h"].to_numpy(), radius))
                 yield pd.DataFrame({"a": a, "b": b})
 
     return run
@@ -139,18 +140,86 @@ def _and_last(frames: Iterator) -> Iterator:
     yield None
 
 
-def near_components(prints: DataFrame, words: list[str]) -> DataFrame:
+def wide_cuts(bits: int, radius: int) -> list[list[list[int]]]:
+    """The bits as two halves of blocks: one half has at most radius // 2 bits that differ, so two of its blocks have none."""
+    halves, n = [range(bits // 2), range(bits // 2, bits)], radius // 2 + 2
+    return [[list(h[len(h) * k // n : len(h) * (k + 1) // n]) for k in range(n)] for h in halves]
+
+
+def wide_keys(words: list[Column], radius: int) -> list[Column]:
+    """A key for each block that may be the first of the two left alone; the second is told apart in the bucket."""
+    keys = []
+    for half, blocks in enumerate(wide_cuts(64 * len(words), radius)):
+        for i, block in enumerate(blocks[:-1]):
+            parts = [F.shiftright(words[b // 64], b % 64).bitwiseAND(F.lit(1).cast("long")) * F.lit(1 << k) for k, b in enumerate(block)]
+            keys.append(F.lit((half << 60) + (i << 40)).cast("long") + sum(parts[1:], parts[0]))
+    return keys
+
+
+def crowd_links(fp: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """Links that span the components of fingerprints within ``radius``, each reached from one nearer the first."""
+    a, b, left = [], [], np.arange(len(fp))
+    reached: list[int] = []
+    while len(left):
+        if not reached:
+            reached, left = [int(left[0])], left[1:]
+        at = reached.pop()
+        near = np.bitwise_count(fp[left] ^ fp[at]).sum(1, dtype=np.int64) <= radius
+        new = left[near].tolist()
+        a += [at] * len(new)
+        b += new
+        reached += new
+        left = left[~near]
+    return a, b
+
+
+def wide_links(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within ``radius`` that span the components of each bucket; a bucket is of one key of ``wide_keys``."""
+    a, b = [np.zeros(0, int)], [np.zeros(0, int)]
+    cuts = wide_cuts(64 * fp.shape[1], radius)
+    for start in np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else []:
+        end = int(np.searchsorted(key, key[start], "right"))
+        half, i = int(key[start]) >> 60, (int(key[start]) >> 40) & 0xFFFFF
+        for block in cuts[half][i + 1 :]:
+            part = np.zeros(end - start, np.uint64)
+            for k, bit in enumerate(block):
+                part |= (fp[start:end, bit // 64] >> np.uint64(bit % 64) & np.uint64(1)) << np.uint64(k)
+            order = np.argsort(part, kind="stable") + start
+            part = part[order - start]
+            size = np.diff(np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)])
+            first = np.r_[0, np.cumsum(size)[:-1]]
+            for f, n in zip(first[size > CROWD].tolist(), size[size > CROWD].tolist(), strict=True):
+                x, y = crowd_links(fp[order[f : f + n]], radius)
+                a.append(order[f + np.array(x, int)]), b.append(order[f + np.array(y, int)])
+            even = order[np.repeat(size <= CROWD, size)]
+            group = np.repeat(np.arange(len(size)), size)[np.repeat(size <= CROWD, size)]
+            for s in range(1, CROWD):
+                at = np.flatnonzero(group[:-s] == group[s:])
+                if not len(at):
+                    break
+                near = np.bitwise_count(fp[even[at]] ^ fp[even[at + s]]).sum(1, dtype=np.int64) <= radius
+                a.append(even[at[near]]), b.append(even[at[near] + s])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def near_components(prints: DataFrame, words: list[str], radius: int = RADIUS) -> DataFrame:
     """``prints`` (the words of a fingerprint and an id ``node``) as ``(words..., node, component)``, a row per fingerprint.
 
-    Fingerprints link at two bits or fewer; ``node`` is the least id with the fingerprint and
+    Fingerprints link at ``radius`` bits or fewer; ``node`` is the least id with the fingerprint and
     ``component`` the least id that links reach. Equal fingerprints are one row before anything is
     compared. A crowd, a bucket of over ``CROWD`` different fingerprints, is not compared at all:
     each of its fingerprints names its 64 neighbours a bit away and itself, and those that name
-    the same one are within two bits of each other, so they meet there as one star.
+    the same one are within two bits of each other, so they meet there as one star. At a radius
+    over two, buckets are those of ``wide_keys``, and a crowd is searched from each fingerprint
+    that is reached, against those not reached yet.
     """
     one = prints.groupBy(*words).agg(F.min("node").alias("node")).where("node is not null")
     kept = [F.col(w).alias(f"w{k}") for k, w in enumerate(words)]
     rows = one.select("node", *kept)
+    if radius > RADIUS:
+        dealt = rows.select("node", *[f"w{k}" for k in range(len(words))], F.explode(F.array(*wide_keys([F.col(f"w{k}") for k in range(len(words))], radius))).alias("h"))
+        found = components(dealt.repartition("h").sortWithinPartitions("h").mapInPandas(_bucket_links(len(words), radius), "a long, b long"))
+        return one.join(found, "node", "left").select(*words, "node", F.coalesce("component", "node").alias("component"))
     dealt = rows.select("node", *[f"w{k}" for k in range(len(words))], F.explode(F.array(*block_keys([F.col(f"w{k}") for k in range(len(words))]))).alias("x")).select("node", *[f"w{k}" for k in range(len(words))], F.xxhash64("x.t", "x.h").alias("h"))
     crowds = dealt.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h")
     even = dealt.join(crowds, "h", "left_anti")

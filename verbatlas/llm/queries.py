@@ -52,7 +52,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"), radius=fingerprints.NEAR)
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
