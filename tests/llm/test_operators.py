@@ -75,9 +75,10 @@ def patched(seed):
     return [*texts, None, "", "a" * 900, "ab" * 500, "é" * 300, texts[3]]
 
 
-@pytest.mark.parametrize("crowd", [4096, 5])
-def test_suffixes_against_brute_force(spark, crowd, monkeypatch):
-    monkeypatch.setattr(suffixes, "CROWD", crowd)
+@pytest.mark.parametrize(("crowd", "local", "run"), [(4096, 64, 1 << 25), (5, 64, 1 << 25), (5, 2, 1 << 25), (2, 1, 4000), (9, 30, 4000), (0, 0, 20000)])
+def test_suffixes_against_brute_force(spark, crowd, local, run, monkeypatch):
+    for name, value in (("CROWD", crowd), ("LOCAL", local), ("RUN", run)):
+        monkeypatch.setattr(suffixes, name, value)
     x = docs(spark, patched(crowd))
     x = x.union(x.where("doc_id = 7")).union(x.where("doc_id = 8").withColumn("doc_id", F.lit(None).cast("long")))
     got = sorted((tuple(r) for r in suffixes.removed(x).collect()), key=str)
@@ -89,7 +90,7 @@ def test_suffixes_long_texts_in_pieces(spark, monkeypatch):
     texts = ["".join(random.Random(k).choice("abc ") for _ in range(2500)) for k in range(3)]
     texts = [t + texts[0][100 * k : 100 * k + 900] for k, t in enumerate(texts)]
     cut = [a for part in [list(suffixes.anchors([t.encode() for t in texts]))] for a in part]
-    assert sum(int((h - lo + 1).sum()) for _, _, lo, h, _, _ in cut) == sum(len(t) - 199 for t in texts)
+    assert sum(int((h - lo + 1).sum()) for _, _, lo, h, _ in cut) == sum(len(t) - 199 for t in texts)
 
 
 def test_loser_tree_merges_front_coded_runs():

@@ -7,31 +7,38 @@ hash starts. Equal strings have their anchors at the same place, so two places o
 two anchors, whose texts to the right and to the left agree far enough. An anchor that serves the
 strings starting at ``low`` to ``high`` stands for the bytes low to high + LENGTH.
 
-1. Grams at anchors are counted; where a gram has one anchor only, its strings are not repeated.
-2. The other anchors' suffixes (then what is left of the anchor, read backwards) form sorted runs,
-   a task's own. A run is front-coded: of each suffix the prefix known from the one before is left
-   out. Runs are cut by the hash of the gram and exchanged.
+1. Anchors are written once. Their grams are counted; where a gram has one anchor only, its strings
+   are not repeated.
+2. The other anchors' suffixes (the text to the right, ``STOP``, then the text to the left read
+   backwards) form sorted runs, a task's own. A run is front-coded: of each suffix the prefix known
+   from the one before is left out. Runs are cut by the bytes that a group shares, and exchanged.
+   Suffixes that a run has more than once are settled there and go on once.
 3. A task combines its pieces of all runs with a loser tree that holds, for each loser, the prefix
    it shares with the winner; prefixes known to be equal are not compared again. Neighbours in the
-   merged order with a common gram are a group; what two of them share to the right comes from the
-   merge, to the left from a comparison, and if both together reach LENGTH, that is removed.
-   Suffixes that a run has more than once are settled there and go on once.
-4. A gram with over ``CROWD`` anchors in differing surroundings is no group for one task. There the
-   strings meet by hash, which spreads them evenly: first in blocks of places before the anchor,
-   which are repeated as a whole or share no core with another, and then one by one in the blocks
-   that are left, those at the ends of what is repeated. A batch sends each block once.
+   merged order that share enough are a group. Within it the prefixes from the merge say how far
+   members agree to the right; members are joined from the longest prefix down, each time in order
+   of the text to the left, where the neighbours agree the longest. If right and left together reach
+   LENGTH, that is removed. Bytes decide, in groups of any size.
+4. No task gets a group without bound. A group of one gram (level 0) has up to ``CROWD`` anchors; an
+   anchor of a more frequent gram is dealt as blocks of strings instead, each a suffix from a later
+   or earlier byte whose group shares more bytes (level 1), so that the groups of one gram part. Where
+   a task has over ``LOCAL`` members of such a group, or the merge over ``CROWD``, its members are dealt
+   once more, as single strings (level 2). Members of that group are equal, and a run has them once.
+   A marker in the runs tells the merge that a task has dealt a group on, so that others follow.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,12 +48,15 @@ from .common import folded, partitions, small_batches, unfolded, utf8, written
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
-#: Anchors of a gram, in more than one kind of surroundings, from which strings meet by hash.
+#: How many strings a member of a group stands for at each level, and the bytes that its group shares.
+WIDTHS = (SPAN, 28, 1)
+CORES = tuple(LENGTH - w + 1 for w in WIDTHS)
+#: Anchors of a gram, or members of a group in the merge, from which they are dealt to the next level.
 CROWD = 4096
-#: Groups up to this size compare their members; larger ones compare hashes of strings in the task.
-FEW = 8
-#: Places whose strings go together where anchors crowd.
-BLOCK = 28
+#: The same for members of a group in one run.
+LOCAL = 64
+#: Parts the text to the right from the text to the left; UTF-8 does not have it.
+STOP = b"\xff"
 #: Bytes of text that are hashed at a time, and bytes of suffixes after which a run ends.
 PIECE, RUN = 1 << 21, 1 << 25
 LOW24 = np.uint64((1 << 24) - 1)
@@ -95,7 +105,7 @@ def least(a: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """For pieces of the texts: which text, anchor, low and high in it, hash of the gram, hash of the surroundings."""
+    """For pieces of the texts: which text, anchor, low and high in it, hash of the gram."""
     part: list[tuple[int, int, bytes]] = []
     size = 0
     for k, t in enumerate(texts):
@@ -126,14 +136,9 @@ def _anchored(part: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
     at = at[starts]
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)])
     low, high, x = starts[new], starts[np.r_[new[1:], len(starts)] - 1], at[new]
-    with np.errstate(over="ignore"):
-        powers, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(len(raw) - 1, x, np.uint64)]) for x in (BASE, power(-1)))
-        sums = np.r_[np.uint64(0), np.cumsum(byte_codes()[raw] * powers)]
-        around = (sums[high + LENGTH] - sums[low]) * inverse[low]
-        around = blended(around + (x - low).astype(np.uint64) * np.uint64(1009) + (high - low).astype(np.uint64))
     which = np.searchsorted(begins, low, "right") - 1
     shift = np.array([p[1] for p in part])[which] - begins[which]
-    return np.array([p[0] for p in part])[which], x + shift, low + shift, high + shift, h[x], around
+    return np.array([p[0] for p in part])[which], x + shift, low + shift, high + shift, h[x]
 
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
@@ -250,206 +255,244 @@ def merged(runs: list[Coded]) -> Iterator[tuple[bytes, int, int, tuple[int, int]
             node //= 2
 
 
+def windows(string: bytes, right: int, low: int, level: int) -> Iterator[tuple[bytes, int, int]]:
+    """The strings that a suffix stands for, dealt in blocks of a level: suffix, bytes to the right, low of each."""
+    left, width = len(string) - 1 - right, WIDTHS[level]
+    text = string[right + 1 :][::-1] + string[:right]
+    high = len(text) - LENGTH
+    for k in range((left - high) // width, left // width + 1):
+        at = left - k * width
+        first, last = max(0, at - width + 1), min(high, at)
+        yield text[at : last + LENGTH] + STOP + text[first:at][::-1], last + LENGTH - at, low + first
+
+
+class Held:
+    """Suffixes of a task until they go on as runs, and the spans that it has settled."""
+
+    def __init__(self, parts: int, limits: tuple[int, int, int]):
+        self.parts, self.home = parts, TaskContext.get().partitionId() % parts
+        self.most, self.most_here, self.full = limits
+        self.known: list[dict[tuple[bytes, int], list]] = [{} for _ in CORES]
+        self.crowd: dict[tuple[bytes, int], list] = {}
+        self.size = [0] * len(CORES)
+        self.spans: dict[tuple[int, int], list] = defaultdict(list)
+        self.settled = 0
+
+    def settle(self, doc: tuple[int, int], low: int, end: int) -> None:
+        self.spans[doc].append((low, end))
+        self.settled += 1
+
+    def put(self, level: int, string: bytes, right: int, doc: tuple[int, int], low: int, crowd: bool = False) -> None:
+        """One that is there already, from another place, is settled with it."""
+        held = self.crowd if crowd else self.known[level]
+        known = held.get((string, right))
+        if known is None:
+            held[string, right] = [doc, low, False]
+            self.size[level] += len(string)
+        elif (known[0], known[1]) != (doc, low):
+            self.settle(doc, low, low + len(string) - 1)
+            if not known[2]:
+                known[2] = True
+                self.settle(known[0], known[1], known[1] + len(string) - 1)
+
+    def run(self, level: int) -> Iterator[pa.RecordBatch]:
+        held, self.known[level], self.size[level] = self.known[level], {}, 0
+        by_part: dict[int, list] = defaultdict(list)
+        for key in held:
+            by_part[zlib.crc32(key[0][: CORES[level]]) % self.parts].append(key)
+        for part, keys in by_part.items():
+            keys.sort()
+            own: dict[tuple[int, int], int] = {}
+            doc = [own.setdefault(held[k][0], len(own)) for k in keys]
+            blob = Run([k[0] for k in keys], [k[1] for k in keys], doc, [held[k][1] for k in keys], list(own)).coded()
+            yield _rows([part], [level], [blob], [0], [0], [None])
+
+    def dealt_on(self, string: bytes, right: int, doc: tuple[int, int], low: int) -> None:
+        for s, r, first in windows(string, right, low, 2):
+            self.put(2, s, r, doc, first)
+
+    def runs(self) -> Iterator[pa.RecordBatch]:
+        """All that is held. Crowded anchors are dealt in blocks, and where their blocks crowd, in strings."""
+        crowd, self.crowd = self.crowd, {}
+        for (string, right), (doc, low, _) in crowd.items():
+            for s, r, first in windows(string, right, low, 1):
+                self.put(1, s, r, doc, first)
+        del crowd
+        blocks = self.known[1]
+        hot = {c for c, n in Counter(s[: CORES[1]] for s, _ in blocks).items() if n > self.most_here}
+        for key in [k for k in blocks if k[0][: CORES[1]] in hot]:
+            doc, low, _ = blocks.pop(key)
+            self.dealt_on(*key, doc, low)
+            if self.size[2] >= self.full:
+                yield from self.run(2)
+        for c in hot:
+            blocks[c, len(c)] = [(0, 0), -1, False]
+        for level in range(len(CORES)):
+            yield from self.run(level)
+        yield from self.found()
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if self.spans:
+            spans, self.spans, self.settled = self.spans, defaultdict(list), 0
+            lists = [united(x) for x in spans.values()]
+            yield _rows([self.home] * len(lists), [-1] * len(lists), [None] * len(lists), [d[0] for d in spans], [d[1] for d in spans], lists)
+
+
+def united(spans: list[tuple[int, int]]) -> list[int]:
+    """The union of spans, as from, to, from, to."""
+    out: list[int] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += (a, b)
+    return out
+
+
+#: What is exchanged: pieces of runs, and spans of documents (level -1).
+ROWS = "part int, level int, blob binary, k1 long, k2 long, spans array<long>"
+
+
+def _rows(*columns: list) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["part", "level", "blob", "k1", "k2", "spans"])
+
+
 class Group:
-    """Different surroundings of one gram, in order; ``found`` gets (document, from, to)."""
+    """Members of a group in order, as [suffix, prefix shared with the one before, bytes to the right, document, low, settled]."""
 
-    def __init__(self, found: list):
-        self.found, self.rows = found, []
+    def __init__(self, held: Held, level: int):
+        self.held, self.level, self.rows, self.crowded = held, level, [], False
 
     def add(self, string: bytes, shared: int, right: int, doc: tuple[int, int], low: int) -> None:
+        if low < 0:
+            self.crowded = True
+            return
         if self.rows:
             last = self.rows[-1]
             if shared == len(string) == len(last[0]) and last[2] == right:
                 if (last[3], last[4]) != (doc, low):
-                    size = len(string)
-                    self.found += [(doc, low, low + size)] if last[5] else [(doc, low, low + size), (last[3], last[4], last[4] + size)]
-                    last[5] = True
+                    self.held.settle(doc, low, low + len(string) - 1)
+                    if not last[5]:
+                        last[5] = True
+                        self.held.settle(last[3], last[4], last[4] + len(string) - 1)
                 return
-        self.rows.append([string, min(shared, right), right, doc, low, False])
+        self.rows.append([string, shared, right, doc, low, False])
+        if self.level == 1 and (self.crowded or len(self.rows) > self.held.most):
+            # the last one stays, for the next to be compared with it
+            self.crowded = True
+            for r in self.rows[:-1]:
+                self.held.dealt_on(r[0], r[2], r[3], r[4])
+            del self.rows[:-1]
 
     def done(self) -> None:
         rows, self.rows = self.rows, []
-        if len(rows) < 2:
+        if self.crowded:
+            self.crowded = False
+            for r in rows:
+                self.held.dealt_on(r[0], r[2], r[3], r[4])
+        elif len(rows) == 2:
+            self.compared(*rows, rows[1][1])
+        elif len(rows) > 2:
+            self._joined(rows)
+
+    def _joined(self, rows: list) -> None:
+        """Neighbours join from the longest shared prefix down; what joins meets its neighbours by the text to the left."""
+        n = len(rows)
+        lefts = [r[0][r[2] + 1 :] for r in rows]
+        order = sorted(range(n), key=lefts.__getitem__)
+        sets: list[list[int]] = [[] for _ in rows]
+        for rank, i in enumerate(order):
+            sets[i] = [rank]
+        # a set of joined rows is known at both its ends, as they are in a row
+        other = list(range(n))
+        for i in sorted(range(1, n), key=lambda i: -rows[i][1]):
+            first, last, shared = other[i - 1], other[i], rows[i][1]
+            small, large = sets[i - 1], sets[i]
+            if len(small) > len(large):
+                small, large = large, small
+            for rank in small:
+                at = bisect(large, rank)
+                for near in large[max(at - 1, 0) : at + 1]:
+                    self.compared(rows[order[rank]], rows[order[near]], shared)
+                large.insert(at, rank)
+            other[first], other[last] = last, first
+            sets[first] = sets[last] = large
+
+    def compared(self, a: list, b: list, shared: int) -> None:
+        right = min(shared, a[2], b[2])
+        if a[5] and b[5] or right + min(len(a[0]) - a[2], len(b[0]) - b[2]) <= LENGTH:
             return
-        if len(rows) > FEW:
-            return self._by_hash(rows)
-        for i, a in enumerate(rows):
-            reach = a[2]
-            left_a = a[0][a[2] :]
-            for b in rows[i + 1 :]:
-                reach = min(reach, b[1])
-                right, left_b = min(reach, b[2]), b[0][b[2] :]
-                if a[5] and b[5] or right + min(len(left_a), len(left_b)) < LENGTH:
-                    continue
-                left = common(left_a, left_b)
-                if right + left >= LENGTH:
-                    at = [(r[3], r[4] + len(r[0]) - r[2]) for r in (a, b)]
-                    if at[0] != at[1]:
-                        self.found += [(doc, x - left, x + right) for doc, x in at]
-
-    def _by_hash(self, rows: list) -> None:
-        texts = [r[0][r[2] :][::-1] + r[0][: r[2]] for r in rows]
-        sizes = np.array(list(map(len, texts)))
-        begins = np.cumsum(sizes) - sizes
-        h = gram_hashes(np.frombuffer(b"".join(texts), np.uint8), LENGTH)
-        row = np.repeat(np.arange(len(rows)), sizes)[: len(h)]
-        at = np.arange(len(h))
-        inside = at <= (begins + sizes - LENGTH)[row]
-        h, row, at = h[inside], row[inside], at[inside]
-        # the same place, met through two pieces of a long text, counts once
-        docs: dict = {}
-        place = np.array([docs.setdefault(r[3], len(docs)) for r in rows])[row] * (1 << 44) + np.array([r[4] for r in rows])[row] + at - begins[row]
-        place, first = np.unique(place, return_index=True)
-        h, row, at = h[first], row[first], at[first]
-        _, where, n = np.unique(h, return_inverse=True, return_counts=True)
-        for r, p in zip(*(x[n[where] > 1].tolist() for x in (row, at - begins[row])), strict=True):
-            self.found.append((rows[r][3], rows[r][4] + p, rows[r][4] + p + LENGTH))
-
-
-ANCHORS = "gram long, k1 long, k2 long, place long, around int"
+        left = common(a[0][a[2] + 1 :], b[0][b[2] + 1 :])
+        if right + left >= LENGTH:
+            at = [(r[3], r[4] + len(r[0]) - 1 - r[2]) for r in (a, b)]
+            if at[0] != at[1]:
+                for doc, x in at:
+                    self.held.settle(doc, x - left, x + right)
+
+
+ANCHORS = "k1 long, k2 long, grams array<long>, places array<long>"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text (or piece of a long one) the anchors: gram, and place with the strings before it that the anchor serves."""
     for b in batches:
         texts, k1, k2 = [utf8(t) for t in b.column("text").to_pylist()], b.column("k1").to_numpy(), b.column("k2").to_numpy()
-        for which, x, low, high, gram, around in anchors(texts):
+        for which, x, low, high, gram in anchors(texts):
+            if not len(which):
+                continue
+            cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1], True])
+            own = which[cuts[:-1]]
             place = x << 17 | (x - low) << 9 | (x - high) << 1
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(k1[which]), pa.array(k2[which]), pa.array(place), pa.array((around >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["gram", "k1", "k2", "place", "around"])
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(v)) for v in (gram.view(np.int64), place)]
+            yield pa.RecordBatch.from_arrays([pa.array(k1[own]), pa.array(k2[own]), *lists], ["k1", "k2", "grams", "places"])
 
 
-def _run_rows(parts: int):
+def _run_rows(parts: int, limits: tuple[int, int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bytes, int], list] = {}
-        size, docs, settled = 0, [], []
-        home = TaskContext.get().partitionId() % parts
-
-        def ended():
-            out = [(home, False, np.array(settled, "<i8").tobytes())] if settled else []
-            by_part: dict[int, list] = {}
-            for key in held:
-                by_part.setdefault(zlib.crc32(key[0][:GRAM]) % parts, []).append(key)
-            for p, keys in by_part.items():
-                keys.sort()
-                own: dict[int, int] = {}
-                doc = [own.setdefault(held[k][0], len(own)) for k in keys]
-                out.append((p, True, Run([k[0] for k in keys], [k[1] for k in keys], doc, [held[k][1] for k in keys], [docs[d] for d in own]).coded()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["part", "is_run", "blob"]) if out else None
-
+        held = Held(parts, limits)
         for b in batches:
             for text, k1, k2, places in zip(*(b.column(c).to_pylist() for c in ("text", "k1", "k2", "places")), strict=True):
-                raw, d = utf8(text), len(docs)
-                docs.append((k1, k2))
-                for place in set(places):
+                raw, doc = utf8(text), (k1, k2)
+                for place in sorted(set(places)):
                     x = place >> 17
-                    low, high = x - (place >> 9 & 255), x - (place >> 1 & 255)
-                    right = raw[x : high + LENGTH]
-                    key = right + raw[low:x][::-1], len(right)
-                    known = held.get(key)
-                    if known is None:
-                        held[key] = [d, low, False]
-                        size += len(key[0])
-                    elif (docs[known[0]], known[1]) != ((k1, k2), low):
-                        n = high + LENGTH - low
-                        settled.append((k1, k2, low, low + n))
-                        if not known[2]:
-                            known[2] = True
-                            settled.append((*docs[known[0]], known[1], known[1] + n))
-                if size >= RUN:
-                    if (out := ended()) is not None:
-                        yield out
-                    held, size, docs, settled = {}, 0, [], []
-        if (out := ended()) is not None:
-            yield out
+                    low, end = x - (place >> 9 & 255), x - (place >> 1 & 255) + LENGTH
+                    held.put(place & 1, raw[x:end] + STOP + raw[low:x][::-1], end - x, doc, low, crowd=bool(place & 1))
+                # what crowds is dealt as seven blocks
+                if held.size[0] + 8 * held.size[1] >= held.full:
+                    yield from held.runs()
+        yield from held.runs()
 
     return run
 
 
-SPANS = "k1 long, k2 long, span long"
+def _merged_rows(parts: int, levels: tuple[int, ...], limits: tuple[int, int, int]):
+    """Merges the runs of these levels; other rows pass on as they are."""
 
-
-def _span_rows(found: list[tuple[tuple[int, int], int, int]]) -> pa.RecordBatch:
-    x = np.array([(d[0], d[1], a << 20 | (b - a)) for d, a, b in set(found)], np.int64).reshape(-1, 3)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in x.T.copy()], ["k1", "k2", "span"])
-
-
-def _merged_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs, found = [], []
-    for b in batches:
-        for is_run, blob in zip(b.column("is_run").to_pylist(), b.column("blob").to_pylist(), strict=True):
-            if is_run:
-                runs.append(Coded(blob))
-            else:
-                found += [((k1, k2), a, e) for k1, k2, a, e in np.frombuffer(blob, "<i8").reshape(-1, 4).tolist()]
-    group = Group(found)
-    for string, shared, right, doc, low in merged(runs):
-        if shared < GRAM:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held(parts, limits)
+        runs: dict[int, list[Coded]] = {k: [] for k in levels}
+        for b in batches:
+            mine = pc.is_in(b.column("level"), pa.array(levels, pa.int32()))
+            if (rest := b.filter(pc.invert(mine))).num_rows:
+                yield rest
+            own = b.filter(mine)
+            for level, blob in zip(own.column("level").to_pylist(), own.column("blob").to_pylist(), strict=True):
+                runs[level].append(Coded(blob))
+        for level in levels:
+            group = Group(held, level)
+            for string, shared, right, doc, low in merged(runs.pop(level)):
+                if shared < CORES[level]:
+                    group.done()
+                    if held.settled > 50_000:
+                        yield from held.found()
+                group.add(string, shared, right, doc, low)
+                if held.size[2] >= held.full:
+                    yield from held.run(2)
             group.done()
-            if len(found) > 50_000:
-                yield _span_rows(found)
-                found.clear()
-        group.add(string, shared, right, doc, low)
-    group.done()
-    if found:
-        yield _span_rows(found)
-
+        yield from held.runs()
 
-NODES = "kind int, core long, whole long, k1 long, k2 long, low long, strings array<long>"
-
-
-def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of crowded anchors: the strings that start in a block of places before the anchor, as one row.
-
-    ``core`` hashes what all strings of the block share, wherever in it they start, and ``whole``
-    all of them. What a batch has twice is settled there (kind 2) and goes on once, without asking
-    for an answer (kind 0); the rest asks (kind 1).
-    """
-    h = xxhash.xxh64_intdigest
-    for b in batches:
-        rows: dict[tuple[int, int], list] = {}
-        settled = []
-        for text, k1, k2, places in zip(*(b.column(n).to_pylist() for n in ("text", "k1", "k2", "places")), strict=True):
-            raw = utf8(text)
-            for place in set(places):
-                x = place >> 17
-                low, high = x - (place >> 9 & 255), x - (place >> 1 & 255)
-                strings = gram_hashes(np.frombuffer(raw[low : high + LENGTH], np.uint8), LENGTH)
-                for k in range((x - high) // BLOCK, (x - low) // BLOCK + 1):
-                    first, last = max(low, x - k * BLOCK - BLOCK + 1), min(high, x - k * BLOCK)
-                    own = strings[first - low : last - low + 1]
-                    key = h(raw[x - k * BLOCK : x - k * BLOCK - BLOCK + 1 + LENGTH], k), h(own.tobytes())
-                    known = rows.get(key)
-                    if known is None:
-                        rows[key] = [1, k1, k2, first, own]
-                    else:
-                        settled.append((k1, k2, first, len(own)))
-                        if known[0]:
-                            known[0] = 0
-                            settled.append((*known[1:4], len(known[4])))
-        i64 = lambda v: np.array(v, np.uint64).view(np.int64)
-        kinds = [r[0] for r in rows.values()] + [2] * len(settled)
-        if kinds:
-            at = [r[1:4] for r in rows.values()] + [s[:3] for s in settled]
-            lists = [r[4].view(np.int64) for r in rows.values()] + [np.zeros(s[3], np.int64) for s in settled]
-            keys = list(rows) + [(0, 0)] * len(settled)
-            columns = [pa.array(kinds, pa.int32()), *(pa.array(i64([k[j] for k in keys])) for j in (0, 1)), *(pa.array([x[j] for x in at], pa.int64()) for j in range(3)), pa.array(lists, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["kind", "core", "whole", "k1", "k2", "low", "strings"])
-
-
-def _crowded_spans(nodes: DataFrame) -> DataFrame:
-    """``k1, k2, span`` of what is repeated: blocks that are so as a whole, then strings of those whose core is."""
-    whole = F.shiftleft("low", 20) + F.size("strings") + (LENGTH - 1)
-    live = nodes.where("kind < 2")
-    cores = live.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    live = live.join(cores, "core")
-    wholes = live.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "low")).alias("first"))
-    live = live.join(wholes, ["core", "whole"])
-    asks = (F.col("kind") == 1) & (F.col("n") == 1)
-    apart = live.where((F.col("n") == 1) | (F.struct("k1", "k2", "low") == F.col("first")))
-    strings = apart.select("k1", "k2", "low", asks.alias("asks"), F.posexplode("strings").alias("k", "h"))
-    twice = strings.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    found = strings.where("asks").join(twice, "h").select("k1", "k2", (F.shiftleft(F.col("low") + F.col("k"), 20) + LENGTH).alias("span"))
-    settled = nodes.where("kind = 2").select("k1", "k2", whole.alias("span"))
-    return found.union(settled).union(live.where("kind = 1 and n > 1").select("k1", "k2", whole.alias("span")))
+    return run
 
 
 def keyed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -459,26 +502,21 @@ def keyed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 
 def spans(rows: DataFrame) -> DataFrame:
-    """``(k1, k2, spans)`` of keyed rows: what is repeated, as from << 20 | length."""
-    spark = rows.sparkSession
-    parts = partitions(spark)
-    found = rows.select("text", "k1", "k2").mapInArrow(_anchor_rows, ANCHORS)
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("around").alias("a"), F.max("around").alias("b")).where("n > 1")
-    grams = written(grams.select("gram", ((F.col("n") > CROWD) & (F.col("a") != F.col("b"))).alias("crowd")), "grams")
-    crowded = not grams.where("crowd").isEmpty()
-    candidates = found.select("gram", "k1", "k2", "place").join(grams, "gram")
-
-    def with_places(crowd: bool) -> DataFrame:
-        lists = candidates.where(F.col("crowd") == crowd).groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
-        return rows.join(lists, ["k1", "k2"])  # with all columns, so that the last join can use this exchange again
-
-    runs = with_places(False).mapInArrow(_run_rows(parts), "part int, is_run boolean, blob binary")
-    out = runs.repartitionById(parts, "part").mapInArrow(_merged_rows, SPANS)
-    if crowded:
-        out = out.union(_crowded_spans(written(with_places(True).mapInArrow(_node_rows, NODES), "crowded")))
+    """``(k1, k2, spans)`` of keyed rows: what is repeated, as lists of from, to, from, to; or -1, -1 for the whole row."""
+    parts, limits = partitions(rows.sparkSession), (CROWD, LOCAL, RUN)
+    anchored = written(rows.select("text", "k1", "k2").mapInArrow(_anchor_rows, ANCHORS), "anchors")
+    found = anchored.select("k1", "k2", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("x.grams", "k1", "k2", "x.places")
+    grams = written(found.groupBy("grams").agg(F.count("*").alias("n")).where("n > 1").select("grams", (F.col("n") > CROWD).cast("long").alias("crowd")), "grams")
+    # a place's lowest bit tells whether its gram is crowded
+    lists = found.join(grams, "grams").groupBy("k1", "k2").agg(F.collect_list(F.col("places").bitwiseOR(F.col("crowd"))).alias("places"))
+    # rows with all their columns, so that the last join can use this exchange again
+    out = rows.join(lists, ["k1", "k2"]).mapInArrow(_run_rows(parts, limits), ROWS)
+    for levels in ((0, 1), (2,)):
+        out = out.repartitionById(parts, "part").mapInArrow(_merged_rows(parts, levels, limits), ROWS)
     again = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where(f"n > 1 and size >= {LENGTH}")
-    out = out.union(again.select("k1", "k2", F.lit(-1).cast("long").alias("span")))
-    return out.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"))
+    whole = F.array(F.lit(-1), F.lit(-1)).cast("array<long>")
+    out = out.select("k1", "k2", "spans").union(again.select("k1", "k2", whole.alias("spans")))
+    return out.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def kept_bytes(raw: bytes, found: list[int] | None) -> tuple[bytes, int, int]:
@@ -487,16 +525,9 @@ def kept_bytes(raw: bytes, found: list[int] | None) -> tuple[bytes, int, int]:
         return raw, 0, 0
     if -1 in found:
         return b"", len(raw), 1
-    out, end, begin, n = [], 0, None, 0
-    for s in sorted(found):
-        a, b = s >> 20, (s >> 20) + (s & 0xFFFFF)
-        if begin is None or a > end:
-            out.append(raw[end:a])
-            n += 1
-            begin = a
-        end = max(end, b)
-    left = b"".join(out) + raw[end:]
-    return left, len(raw) - len(left), n
+    gone = united(list(zip(found[::2], found[1::2], strict=True)))
+    left = b"".join([raw[a:b] for a, b in zip([0, *gone[1::2]], [*gone[::2], len(raw)], strict=True)])
+    return left, len(raw) - len(left), len(gone) // 2
 
 
 def removed(docs: DataFrame, extra: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
