@@ -40,7 +40,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,7 +269,7 @@ class Held:
     """Suffixes of a task until they go on as runs, and the spans that it has settled."""
 
     def __init__(self, parts: int, limits: tuple[int, int, int]):
-        self.parts, self.home = parts, TaskContext.get().partitionId() % parts
+        self.parts = parts
         self.most, self.most_here, self.full = limits
         self.known: list[dict[tuple[bytes, int], list]] = [{} for _ in CORES]
         self.crowd: dict[tuple[bytes, int], list] = {}
@@ -335,7 +334,7 @@ class Held:
         if self.spans:
             spans, self.spans, self.settled = self.spans, defaultdict(list), 0
             lists = [united(x) for x in spans.values()]
-            yield _rows([self.home] * len(lists), [-1] * len(lists), [None] * len(lists), [d[0] for d in spans], [d[1] for d in spans], lists)
+            yield _rows([d[0] % self.parts for d in spans], [-1] * len(lists), [None] * len(lists), [d[0] for d in spans], [d[1] for d in spans], lists)
 
 
 def united(spans: list[tuple[int, int]]) -> list[int]:
@@ -555,7 +554,8 @@ def removed(docs: DataFrame, extra: tuple[str, ...] = (), texts: bool = False) -
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with repeated strings cut out of ``text``, and ``n_chars``, where it is there, counted anew."""
-    x = removed(folded(docs, "doc_id", "text"), ("_row",), texts=True).withColumn("text", F.col("kept"))
+    """docs with repeated strings cut out of ``text``, and ``n_chars``, where it is there, counted anew. A null text stays null."""
+    own = folded(docs, "doc_id", "text").withColumn("_null", F.col("text").isNull())
+    x = removed(own, ("_row", "_null"), texts=True).withColumn("text", F.when(~F.col("_null"), F.col("kept")))
     out = unfolded(x, docs.columns, "doc_id", "text")
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(dict(docs.dtypes)["n_chars"]), "n_chars")) if "n_chars" in docs.columns else out
