@@ -6,9 +6,11 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts the same.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +20,11 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def arrow_kind(df: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type of a column, as Python functions get it."""
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -90,7 +97,7 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 def folded(docs: DataFrame, *apart: str) -> DataFrame:
     """The columns ``apart``, and the others as one struct ``_row``, out of reach of an operator's own names."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in apart]
-    return docs.select(*apart, F.struct(*others, F.lit(True).alias("_")).alias("_row"))
+    return docs.select(*apart, F.struct(*others, F.lit(True).alias("_folded_row")).alias("_row"))
 
 
 def unfolded(rows: DataFrame, columns: list[str], *apart: str) -> DataFrame:
