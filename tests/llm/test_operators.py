@@ -194,27 +194,49 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {100 + k: 100 for k in range(41)}
 
 
-def test_lm_against_brute_force(spark):
-    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in real(spark).collect()]
-    trains = lambda d: zlib.crc32(str(d).encode()) % 7 != 2
-    words, pairs, states = Counter(), Counter(), Counter()
+def brute_lm(rows, weights, trains):
+    """Counts of n-grams in training texts, and the log10 probability of a text by the formula, from the longest context down."""
+    order, counts = len(weights) + 1, Counter()
     for d, w in rows:
         if trains(d):
-            t = [*w, 1]
-            words.update(t), pairs.update(zip([0, *w], t, strict=True)), states.update([0, *w])
-    n, v, k = sum(words.values()), len(words), 64.0
-    got = {r.doc_id: r for r in lm.scored(real(spark)).collect()}
+            t = [0, *w, 1]
+            counts.update(tuple(t[i : i + k]) for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    n = sum(c for g, c in counts.items() if len(g) == 1 and g != (0,))
+    v = sum(1 for g in counts if len(g) == 1 and g != (0,))
+
+    def p(context, w):
+        if not context:
+            return (counts[w,] + 1) / (n + v + 1)
+        k = weights[len(context) - 1]
+        return (counts[(*context, w)] + k * p(context[1:], w)) / (counts[context] + k)
+
+    def score(w):
+        t = [0, *w, 1]
+        return sum(math.log10(p(tuple(t[max(0, i - order + 1) : i]), t[i])) for i in range(1, len(t)))
+
+    return counts, n, v, score
+
+
+@pytest.mark.parametrize("weights", [lm.WEIGHTS, (5.0,), (9.0, 4.0, 2.0)])
+def test_lm_against_brute_force(spark, weights):
+    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in real(spark).collect()]
+    trains = lambda d: zlib.crc32(str(d).encode()) % 7 != 2
+    counts, n, v, score = brute_lm(rows, weights, trains)
+    got = {r.doc_id: r for r in lm.scored(real(spark), weights=weights).collect()}
     base = model = 0.0
     for d, w in rows:
-        t = [*w, 1]
-        b = sum(math.log10((words[x] + 1) / (n + v + 1)) for x in t)
-        s = sum(math.log10((pairs[h, x] + k * (words[x] + 1) / (n + v + 1)) / (states[h] + k)) for h, x in zip([0, *w], t, strict=True))
-        r = got[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not trains(d), len(t), sum(words[x] > 0 for x in t), n)
+        b = sum(math.log10((counts[x,] + 1) / (n + v + 1)) for x in [*w, 1])
+        s, r = score(w), got[d]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not trains(d), len(w) + 1, sum(counts[x,] > 0 for x in [*w, 1]), n)
         assert r.base_score == pytest.approx(b) and r.score == pytest.approx(s)
         if not trains(d):
             base, model = base + b, model + s
-    assert model > base
+    assert model > base and max(len(w) for _, w in rows) > 2 * lm.STRETCH
+
+
+def test_ids_of_other_types(spark):
+    x = docs(spark, ODD).select("text", F.col("doc_id").cast("decimal(20,0)").alias("doc_id"))
+    assert {r.doc_id for r in lm.scored(x).collect()} == {r.doc_id for r in wordtable.encoded(x, WORDS).collect()} == {r.doc_id for r in x.collect()}
 
 
 def test_lm_odd_texts(spark):

@@ -10,44 +10,86 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import partitions, small_batches
+from .common import arrow_kind, partitions, small_batches
 from .tokencount import byte_letters
 
 #: Characters after which a block ends; a longer text is a block of its own.
 BLOCK = 1 << 24
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: The same for texts of Latin letters, where what re takes for letters, numbers and space agrees; else ODD finds something.
+#: What the file at hand must say of texts; words are made by these rules.
+NORMALIZER = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The pattern for texts of Latin letters, where what re takes for letters, numbers and space is what the library does; else ODD finds something.
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 ODD = re.compile("[^\0-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+#: Letters, numbers and white space are in these planes.
+PLANES = [*range(0xD800), *range(0xE000, 0x40000)]
 #: Words have no white space: it parts them in a blob, and this one marks an added token.
 MARK = "\n"
 
 
+def ranges(points: list[int]) -> str:
+    """A character class of sorted code points."""
+    out: list[list[int]] = []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+@cache
+def odd_pattern(path: str) -> str:
+    """The pattern with the library's own letters, numbers and space, as its splitter shows them for each code point."""
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    kinds: dict[str, list[int]] = {"L": [], "N": [], "S": []}
+    for k in range(0, len(PLANES), 1 << 15):
+        own = PLANES[k : k + (1 << 15)]
+        # a letter keeps the first group whole, a sign the second; a number is apart in both, and space is left out
+        found = [0] * (10 * len(own))
+        text = "".join(f"a{chr(c)}a  #{chr(c)}#  " for c in own)
+        for _, (a, b) in split(text):
+            found[a] = b - a
+        for i, c in enumerate(own):
+            if found[10 * i] == 3:
+                kinds["L"].append(c)
+            elif found[10 * i + 5] != 3:
+                kinds["N" if found[10 * i + 1] else "S"].append(c)
+    letters, numbers, space = map(ranges, kinds.values())
+    return f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+"
+
+
 class Vocabulary:
-    """The model, pieces and added tokens of a word-level BPE file."""
+    """The model, pieces and added tokens of a word-level BPE file, whose normalizer and pattern must be the known ones."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str | None = None):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        whole = Tokenizer.from_file(path)
+        self.model, self.normalized = whole.model, whole.normalizer.normalize_str
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if [x["type"] for x in spec["normalizer"]["normalizers"]] != NORMALIZER or spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": PATTERN}:
+            raise ValueError(f"{path} splits texts by other rules")
+        self.odd = re.compile(pattern or odd_pattern(path))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         pieces = spec["model"]["vocab"] | self.added
         self.pieces = [""] * (max(pieces.values()) + 1)
         for piece, k in pieces.items():
@@ -68,13 +110,9 @@ class Vocabulary:
             at = m.end()
         return out + self._split(text[at:])
 
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        """The normalizer also makes one space of white space, which no word holds."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() has another sigma for the end of a word
-        text = text.lower()
-        return (SPLIT if ODD.search(text) else PLAIN).findall(text)
+    def _split(self, text: str) -> list[str]:
+        """The library's normalizer, which is slow, is asked where Python's may differ. It also makes one space of white space, which no word holds."""
+        return self.odd.findall(self.normalized(text)) if ODD.search(text) else PLAIN.findall(text.lower())
 
     def encoded(self, word: str) -> list[int]:
         if word[0] == MARK:
@@ -83,8 +121,8 @@ class Vocabulary:
 
 
 @cache
-def opened(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def opened(path: str, pattern: str | None = None) -> Vocabulary:
+    return Vocabulary(path, pattern)
 
 
 def squeezed(a: np.ndarray) -> bytes:
@@ -100,13 +138,12 @@ class Block:
     """Documents as sequences of numbers of distinct words."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = defaultdict(count().__next__)
         self.ids, self.sequences, self.chars = [], [], 0
 
     def add(self, doc_id, words: list[str], chars: int) -> None:
-        known = self.known
         self.ids.append(doc_id)
-        self.sequences.append(np.array([known.setdefault(w, len(known)) for w in words], np.uint32))
+        self.sequences.append(np.fromiter(map(self.known.__getitem__, words), np.uint32, len(words)))
         self.chars += chars
 
     def dealt(self, buckets: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -127,15 +164,24 @@ class Block:
         return rank[flat] if len(flat) else flat, place[rank_of] if len(place) else place
 
 
-def blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, Block]]:
+class Words(Block):
+    """The distinct words alone."""
+
+    def add(self, doc_id, words: list[str], chars: int) -> None:
+        self.ids.append(doc_id)
+        self.known.update(dict.fromkeys(words, 0))
+        self.chars += chars
+
+
+def blocks(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, kind: type[Block]) -> Iterator[tuple[int, Block]]:
     """Blocks of a task, each with a number that is the same whenever the task runs again."""
-    vocabulary, block, n = opened(path), Block(), TaskContext.get().partitionId() << 32
+    block, n = kind(), TaskContext.get().partitionId() << 32
     for b in batches:
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             block.add(doc_id, vocabulary.words(text), len(text or ""))
             if block.chars >= BLOCK:
                 yield n, block
-                block, n = Block(), n + 1
+                block, n = kind(), n + 1
     if block.ids:
         yield n, block
 
@@ -156,14 +202,14 @@ def encoded(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True)
     ``docs`` is read twice and must then hold the same rows in the same partitions, as a table does
     that is read from storage; a block whose two readings differ is an error.
     """
-    spark, with_ids = docs.sparkSession, ids
+    spark, with_ids, pattern = docs.sparkSession, ids, odd_pattern(path)
     small_batches(spark)
-    kind = dict(docs.dtypes)["doc_id"]
+    kind, b_kind = dict(docs.dtypes)["doc_id"], arrow_kind(docs, "doc_id")
     buckets = 4 * partitions(spark)
     docs = docs.select("doc_id", "text")
 
     def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, block in blocks(batches, path):
+        for n, block in blocks(batches, opened(path, pattern), Words):
             words, bucket, _ = block.dealt(buckets)
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if words else []
             ends = [*starts[1:], len(words)] if words else []
@@ -173,7 +219,7 @@ def encoded(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True)
             yield pa.RecordBatch.from_arrays([pa.array([n] * len(blobs), pa.int64()), pa.array(bucket[starts] if words else [], pa.int32()), pa.array(blobs, pa.binary()), pa.array([check] * len(blobs), pa.binary())], ["block", "bucket", "words", "check"])
 
     def encode_bucket(f: pd.DataFrame) -> pd.DataFrame:
-        vocabulary, known = opened(path), {}
+        vocabulary, known = opened(path, pattern), {}
         ids, z = [], zstandard.ZstdDecompressor()
         for blob in f["words"]:
             each = []
@@ -186,14 +232,14 @@ def encoded(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True)
         return pd.DataFrame({"block": f["block"], "bucket": f["bucket"], "ids": ids, "check": f["check"]})
 
     def sequence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, block in blocks(batches, path):
+        for n, block in blocks(batches, opened(path, pattern), Block):
             words, _, place = block.dealt(buckets)
             flat, places = block.ranked(place)
             own = pa.array(block.ids, b_kind)
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.ListArray.from_arrays([0, len(own)], own), pa.array([[len(s) for s in block.sequences]], pa.list_(pa.int64())), pa.array([squeezed(flat)], pa.binary()), pa.array([squeezed(places)], pa.binary()), pa.array([check_of(words)], pa.binary())], ["block", "doc_ids", "lengths", "sequence", "places", "check"])
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        pieces = opened(path).pieces
+        pieces = opened(path, pattern).pieces
         ids_of, text_of = [], []
         right = right.sort_by("bucket")
         for blob in right.column("ids").to_pylist():
@@ -220,8 +266,6 @@ def encoded(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True)
                 out[2].append(" ".join([text_of[k] for k in own if text_of[k]]))
         return finish(out)
 
-    b_kind = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-
     def finish(out: tuple[list, list, list]) -> pa.Table:
         digest = lambda x: sha256(x).hexdigest()
         return pa.table({
