@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import arrow_kind, packed, partitions, small_batches, unpacked, utf8, written
 
 #: Bytes of text after which a block ends; a longer text is a block of its own.
-BLOCK = 12_000_000
+BLOCK = 6_000_000
 #: Tokens that are read side by side with others.
 STRETCH = 512
 #: K for contexts of one word, two words; the order of the model is one more than there are.
