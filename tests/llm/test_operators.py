@@ -350,21 +350,38 @@ def test_mixing_odd(spark):
     assert mixing.mix(odd(spark).limit(0)).count() == 0
 
 
-def test_fingerprints(spark):
-    texts = {r.doc_id: r.text or "" for r in real(spark).collect()}
+def plain_fingerprint(text):
+    """Each bit by the votes of all terms, from their definition."""
+    w = text.encode().lower().split()
+    terms = [(x, fingerprints.WORD) for x in w] + [(b" ".join(x), fingerprints.PAIR) for x in zip(w, w[1:], strict=False)]
+    votes = [0] * 128
+    for x, weight in terms:
+        h = xxhash.xxh3_128_intdigest(x)
+        for b in range(128):
+            votes[b] += weight if h >> b & 1 else -weight
+    return "".join("01"[v > 0] for v in reversed(votes))
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "hashed"])
+def test_fingerprints(spark, kind):
+    x = real(spark).where("length(text) < 3000 or doc_id % 20 = 0 or text is null")
+    x = x.withColumn("doc_id", F.xxhash64("doc_id") if kind == "hashed" else F.col("doc_id").cast(kind))
+    texts = {r.doc_id: r.text or "" for r in x.collect()}
     ids = sorted(texts, reverse=True)
-    got = {r.doc_id: r for r in fingerprints.fingerprinted(real(spark)).collect()}
+    got = {r.doc_id: r for r in fingerprints.fingerprinted(x).collect()}
+    code = {t: plain_fingerprint(t) for t in texts.values()}
+    alike = lambda a, b: max(0.0, math.cos(math.pi * sum(x != y for x, y in zip(a, b, strict=True)) / 128))
     better = 0
     for d, e in zip(ids, ids[1:] + ids[:1], strict=True):
-        t, n = texts[d], texts[e]
-        changed = fingerprints.edited(t, n)
-        r, code = got[d], lambda x: "".join(f"{w & (2**64 - 1):016x}" for w in fingerprints.fingerprint(fingerprints.Terms(x)))
-        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(changed.encode()).hexdigest(), code(t), code(changed))
-        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
+        t, n, r = texts[d], texts[e], got[d]
+        k = len(t) // 3
+        changed = t[: len(t) - k] + n[:k]
+        own, other = code[t], plain_fingerprint(changed)
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(changed.encode()).hexdigest(), f"{int(own, 2):032x}", f"{int(other, 2):032x}")
+        assert r.near_edited == pytest.approx(alike(own, other)) and r.near_next == pytest.approx(alike(own, code[n]))
         better += r.near_edited > r.near_next
     assert better > 0.9 * len(ids)
-    full = {d: int(r.fingerprint, 16) for d, r in got.items()}
-    assert {d: r.near_id for d, r in got.items()} == linked(full)
+    assert {d: r.near_id for d, r in got.items()} == linked({d: int(r.fingerprint, 16) for d, r in got.items()}, fingerprints.NEAR)
 
 
 def test_fingerprints_odd(spark):

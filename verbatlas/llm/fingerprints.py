@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
-from .hamming import RADIUS, near_components
+from .common import arrow_kind, partitions, small_batches, utf8, written
+from .hamming import near_components
 
 BITS = 128
 BYTES = BITS // 8
-#: What a term's vote weighs: pairs of words tell texts apart, single words hardly do.
-WORD, PAIR = 1, 4
-#: The radius of op9's query: 16 of 128 bits are a cosine of 0.92.
-NEAR = 16
+#: What a term's vote weighs. Pairs of words tell texts apart more, but few bits of near copies then agree.
+WORD, PAIR = 2, 1
+#: Fingerprints link within so many bits.
+NEAR = 7
 AT_ONCE = 1 << 16
-#: Documents whose ids agree but for so many low bits are put in order together.
-RUN_BITS = 10
 BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 BYTE_PLACES = 256 * np.arange(BYTES)
 
@@ -85,52 +86,96 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, next``: next is the text of the document with the next smaller id, after the last the first.
+KEPT = "doc_id, n_chars long, edited_sha256 string, f0 long, f1 long, e0 long, e1 long, near_edited double, near_next double"
+FIELDS = KEPT.removeprefix("doc_id, ") + ", part int, role string, blob binary"
 
-    Repeated ids stand in the order of their texts, a null id last. Documents are put in order in
-    runs of ids that agree but for ``RUN_BITS`` bits; only a run's last document takes its next
-    text from elsewhere, from the head of the run below, found through the list of runs.
-    """
-    x = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lowest = F.lit(-(1 << 63)).cast("long")
-    run = F.shiftright(F.coalesce(F.col("doc_id").cast("long"), lowest), RUN_BITS)
-    x = x.withColumn("run", run)
-    order = Window.partitionBy("run").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    runs = x.groupBy("run").agg(F.max("doc_id").alias("head"))
-    ranges = runs.withColumn("range", F.shiftright("run", 2 * RUN_BITS))
-    tops = ranges.groupBy("range").agg(F.max("run").alias("top"))
-    tops = tops.select("range", F.coalesce(F.lead("top").over(Window.orderBy(F.col("range").desc())), F.max("top").over(Window.partitionBy())).alias("below"))
-    after = F.lead("run").over(Window.partitionBy("range").orderBy(F.col("run").desc()))
-    chain = ranges.withColumn("_next", after).join(tops, "range").select("run", F.coalesce("_next", "below").alias("below"))
-    # the heads come out of the same exchange as the order, so texts are shuffled once
-    x = x.withColumns({"next": F.lead("text").over(order), "_last": F.lead(F.lit(1)).over(order).isNull(), "_n": F.row_number().over(order)})
-    heads = x.where("_n = 1").select(F.col("run").alias("below"), F.col("text").alias("head_text"))
-    first = chain.join(heads, "below").select("run", "head_text")
-    return x.join(first, "run").select("doc_id", "text", F.when(F.col("_last"), F.col("head_text")).otherwise(F.col("next")).alias("next"))
-
-
-FIELDS = "n_chars long, edited_sha256 string, f0 long, f1 long, e0 long, e1 long, near_edited double, near_next double"
-
-
-def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from hashlib import sha256
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts go through the exchange compressed, with a hash that orders those of equal ids."""
+    z = zstandard.ZstdCompressor(level=1)
     for b in batches:
-        rows, held = [], (None, None)
-        for text, following in zip(b.column("text").to_pylist(), b.column("next").to_pylist(), strict=True):
-            own = held[1] if held[0] == text else Terms(text)
-            after = own if following == text else Terms(following)
-            held = following, after
-            changed, k = edited(text, following), len(text) // 3
-            prints = fingerprint(own), edited_fingerprint(own, after, changed, text[: len(text) - k], following[:k]), fingerprint(after)
-            rows.append((len(text), sha256(utf8(changed)).hexdigest(), *prints[0], *prints[1], likeness(prints[0], prints[1]), likeness(prints[0], prints[2])))
-        columns = list(zip(*rows, strict=True)) or [[]] * 8
-        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4, pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", *[f.split()[0] for f in FIELDS.split(", ")]])
-
-
-def fingerprinted(docs: DataFrame, neighbours: bool = True, radius: int = RADIUS) -> DataFrame:
+        raw = [utf8(t) for t in b.column("text").to_pylist()]
+        order = [xxhash.xxh3_64_intdigest(r) - (1 << 63) for r in raw]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(order, pa.int64()), pa.array([z.compress(r) for r in raw], pa.binary())], ["doc_id", "digest", "blob"])
+
+
+def printed(text: str, own: Terms, following: str, after: Terms) -> tuple:
+    changed, k = edited(text, following), len(text) // 3
+    prints = fingerprint(own), edited_fingerprint(own, after, changed, text[: len(text) - k], following[:k]), fingerprint(after)
+    return len(text), sha256(utf8(changed)).hexdigest(), *prints[0], *prints[1], likeness(prints[0], prints[1]), likeness(prints[0], prints[2])
+
+
+NONE = (None,) * 8
+
+
+def _batch(rows: list[tuple], id_kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [id_kind, pa.int64(), pa.string(), *[pa.int64()] * 4, pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.binary()]
+    names = ["doc_id", *[f.split()[0] for f in FIELDS.split(", ")]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _in_order(id_kind: pa.DataType):
+    """Rows of a partition in order: each is printed when its next has come. The first text and the last go on to others as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, z, held = TaskContext.get().partitionId(), zstandard.ZstdDecompressor(), None
+        for b in batches:
+            rows = []
+            for doc_id, blob in zip(b.column("doc_id").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                text = z.decompress(blob).decode("utf-8", "surrogatepass")
+                if held is None:
+                    rows.append((doc_id, *NONE, part, "first", blob))
+                    terms = Terms(text)
+                else:
+                    terms = held[2] if held[1] == text else Terms(text)
+                    rows.append((held[0], *printed(held[1], held[2], text, terms), part, None, None))
+                held = doc_id, text, terms, blob
+            if rows:
+                yield _batch(rows, id_kind)
+        if held is not None:
+            yield _batch([(held[0], *NONE, part, "last", held[3])], id_kind)
+
+    return run
+
+
+def _last(id_kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for b in batches:
+            rows = []
+            for doc_id, *blobs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "blob", "next")), strict=True):
+                text, following = (z.decompress(x).decode("utf-8", "surrogatepass") for x in blobs)
+                rows.append((doc_id, *printed(text, Terms(text), following, Terms(following)), None, None, None))
+            if rows:
+                yield _batch(rows, id_kind)
+
+    return run
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """Each document printed with the next one, as ``KEPT`` says: that of the next smaller id, after the last the first.
+
+    Ids may be of any type that can be sorted; repeated ids stand in the order of a hash of their
+    texts, a null id last. Documents are put in order by one range exchange; a partition then lacks
+    only the text after its last one, which is the first of the next partition with rows. Equal rows
+    may part at any place, so that neither an id nor a text makes a partition large.
+    """
+    spark, id_kind, kind = docs.sparkSession, arrow_kind(docs, "doc_id"), dict(docs.dtypes)["doc_id"]
+    x = docs.select("doc_id", "text").mapInArrow(_packed, f"doc_id {kind}, digest long, blob binary")
+    order = [F.col("doc_id").desc_nulls_last(), F.col("digest"), F.col("_tie")]
+    x = x.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    x = written(x.select("doc_id", "blob").mapInArrow(_in_order(id_kind), f"doc_id {kind}, {FIELDS}"), "fingerprints")
+    # two rows a partition
+    ends = x.where("role is not null")
+    first = ends.where("role = 'first'").select("part", F.col("blob").alias("next"))
+    parts = first.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("following"))
+    lasts = ends.where("role = 'last'").select("doc_id", "part", "blob").join(parts, "part").join(first.withColumnRenamed("part", "following"), "following")
+    lasts = lasts.select("doc_id", "blob", "next").mapInArrow(_last(id_kind), f"doc_id {kind}, {FIELDS}")
+    kept = [f.split()[0] for f in KEPT.split(", ")]
+    return x.where("role is null").select(*kept).union(lasts.select(*kept))
+
+
+def fingerprinted(docs: DataFrame, neighbours: bool = True, radius: int = NEAR) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` and ``near_id``.
 
     ``near_id`` is the least doc_id that links of at most ``radius`` differing bits reach, found through
@@ -139,13 +184,10 @@ def fingerprinted(docs: DataFrame, neighbours: bool = True, radius: int = RADIUS
     null doc_id comes last in the order. A single document is its own next. An empty table gives no rows.
     """
     small_batches(docs.sparkSession, 1000)
-    x = with_next(docs).mapInArrow(_printed, f"doc_id {dict(docs.dtypes)['doc_id']}, {FIELDS}")
+    x = with_next(docs)
     code = lambda k: F.lower(F.concat(F.lpad(F.hex(f"{k}0"), 16, "0"), F.lpad(F.hex(f"{k}1"), 16, "0")))
     out = ["doc_id", "n_chars", "edited_sha256", code("f").alias("fingerprint"), code("e").alias("edited_fingerprint"), "near_edited", "near_next"]
     if not neighbours:
         return x.select(*out)
-    from .common import written
-
-    x = written(x, "fingerprints")
     found = near_components(x.select("f0", "f1", F.col("doc_id").alias("node")), ["f0", "f1"], radius)
     return x.join(found, ["f0", "f1"], "left").select(*out, F.col("component").alias("near_id"))
