@@ -16,10 +16,12 @@ from .common import shared_folder, written
 #: A record ends with two line ends, which the text writer puts after each row.
 END = "\r\n\r\n"
 SMALLEST = 100
-#: Revisits up to this many rows are broadcast to the pages; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Revisits of up to this many bytes are broadcast to the pages; more are joined by a shuffle.
+BROADCAST_BYTES = 1 << 25
 #: Ranges with a gap of so many bytes at most are read at once, up to so many bytes.
 GAP, READ = 1 << 16, 1 << 22
+#: Bytes of a file that are read by one task.
+STRETCH, MOST_TASKS = 8 * READ, 100_000
 URN = "urn:x-page:"
 INDEX = "path string, offset long, length long, page string, url string, digest string, kind string"
 
@@ -50,13 +52,14 @@ def records(pages: DataFrame) -> Column:
 def write(pages: DataFrame, folder: str) -> None:
     """A record per row, in files of the pages' own partitions; no page is shuffled but where revisits are many."""
     again = written(revisits(pages), "warc-revisits")
-    n = again.count()
+    wide = lambda c: F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    n = again.agg(F.coalesce(F.sum(wide("page_id") + wide("digest") + wide("refers_to") + 48), F.lit(0))).first()[0]
     x = pages.select("page_id", "url", "html")
     if n == 0:
         x = x.withColumn("refers_to", F.lit(None).cast(dict(pages.dtypes)["page_id"]))
     else:
         x = x.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")), 256))
-        small = F.broadcast(again) if n <= BROADCAST_ROWS else again
+        small = F.broadcast(again) if n <= BROADCAST_BYTES else again
         small = small.withColumnRenamed("page_id", "_page").withColumnRenamed("digest", "_digest")
         x = x.join(small, (F.col("digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_page")), "left")
     x.select(records(x).alias("value")).write.option("lineSep", END).text(folder)
@@ -104,10 +107,16 @@ def _indexed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=["path", "offset", "length", "page", "url", "digest", "kind"])
 
 
+def tasks(rows: DataFrame) -> int:
+    """One for each file and each stretch of it; the rows are small, so Spark could not tell from them."""
+    files, size = rows.agg(F.count_distinct("path"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return max(1, min(files + size // STRETCH, MOST_TASKS))
+
+
 def index(spark: SparkSession, folder: str) -> DataFrame:
     """Offset, length, URL and digest of each record: one walk along the heads of each file, written as a table."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "length").where("length > 0")
-    return written(files.repartition("path").mapInPandas(_indexed, INDEX), "warc-index")
+    return written(files.repartition(tasks(files), "path").mapInPandas(_indexed, INDEX), "warc-index")
 
 
 def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,8 +145,8 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read(selected: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of selected index rows: sorted byte ranges, coalesced, a stretch of a file to a task."""
-    stretch = F.floor(F.col("offset") / F.lit(8 * READ))
-    sorted_rows = selected.select("path", "offset", "length", "page").withColumn("stretch", stretch).repartition("path", "stretch").sortWithinPartitions("path", "offset").drop("stretch")
+    stretch = F.floor(F.col("offset") / F.lit(STRETCH))
+    sorted_rows = selected.select("path", "offset", "length", "page").withColumn("stretch", stretch).repartition(tasks(selected), "path", "stretch").sortWithinPartitions("path", "offset").drop("stretch")
     fields = "page string, payload_bytes long, payload_digest string, record_type string, refers_to string"
     if payloads:
         return sorted_rows.mapInPandas(_read, fields + ", payload binary")
