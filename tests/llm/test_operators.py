@@ -304,7 +304,7 @@ def test_page_rank_against_brute_force(spark):
     def ranked(way, seed):
         out = {s: sum(w for (x, _), w in way.items() if x == s) for s, _ in way}
         r = dict(seed)
-        for _ in range(12):
+        for _ in range(urlfilter.rounds_for(0.01, 0.85)):
             r = {h: 0.15 * seed.get(h, 0) + 0.85 * sum(r.get(s, 0) * w / out[s] for (s, t), w in way.items() if t == h) for h in "abcd"}
         return r
 
@@ -313,6 +313,24 @@ def test_page_rank_against_brute_force(spark):
         assert (got[h].trust if h in got else 0) == pytest.approx(good[h]) and (got[h].distrust if h in got else 0) == pytest.approx(bad[h])
 
 
+def test_links_decide(spark):
+    """Without rules of their own: the one that links to a blocked host goes, the one that a trusted host links to stays, ports aside."""
+    link = lambda *hosts: "".join(f"<a HREF='http://{h}/x'>x</a>" for h in hosts)
+    rows = [(1, "http://good.org/", link("near.net", "u@Port.net:81")), (2, "http://bad.com/de/1", ""), (3, "http://near.net/", link("bad.com")), (4, "http://port.net:8080/", link("bad.com")), (5, "http://far.net/", link("mid.net")), (6, "http://mid.net/", link("bad.com:80")), (7, "http://off.net/", "<a href='/de/'>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    said = {domains: {r.page_id: r for r in urlfilter.judged(pages, domains=domains).collect()} for domains in (True, False)}
+    for got in said.values():
+        assert [got[k].verdict for k in (1, 2, 5, 6, 7)] == ["allow", "block", "block", "block", "allow"]
+        assert got[4].host == "port.net:8080" and got[4].trust > 0 and got[4].distrust > 0 and got[3].trust == got[4].trust
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    names = ("_key", "_class", "_cell", "_rank", "_step", "_at", "_u", "_before", "n", "weight", "_folded")
+    x = docs(spark, ["a b c"] * 30).withColumns({c: F.lit("mine") for c in names})
+    assert all(r[c] == "mine" for r in mixing.mix(x).collect() for c in names)
+    assert mixing.mixed_documents(x).columns == x.columns
+
+
 def test_warc_round_trip(spark):
     got = sorted((tuple(r) for r in warc.round_trip(pages(spark)).collect()), key=str)
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()

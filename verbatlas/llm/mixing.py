@@ -35,6 +35,9 @@ def offset(seed: str, key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), key)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+NEW = ("size", "source_size", "target", "copies", "taken")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """``docs`` with ``size, source_size, target, copies, taken``.
 
@@ -49,8 +52,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     rows of their own. An empty table gives no rows. Columns of docs that have the names of the
     new columns are replaced.
     """
-    kept = [c for c in docs.columns if c not in {"size", "source_size", "target", "copies", "taken"}]
-    x = docs.select(*kept).withColumn("size", n_words(F.col("text")))
+    kept = [c for c in docs.columns if c not in NEW]
+    x = _mixed(folded(docs, "doc_id", "text", "source"), weights, share, most, seed)
+    return x.select(*[F.col(c) if c in ("doc_id", "text", "source") else F.col("_row").getField(c).alias(c) for c in kept], *NEW)
+
+
+def _mixed(x: DataFrame, weights: Sequence[float], share: float, most: float, seed: str) -> DataFrame:
+    """``mix`` of folded rows."""
+    x = x.withColumn("size", n_words(F.col("text")))
     x = x.withColumns({
         "_key": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")),
         "_class": F.floor(F.sqrt(F.col("size").cast("double"))),
@@ -73,12 +82,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     x = x.withColumns({"_step": step, "_at": (F.col("_before") + F.col("_rank")).cast("double"), "_u": offset(seed, F.col("_key"))})
     x = x.withColumn("copies", F.floor(F.col("_at") * F.col("_step") + F.col("_u")) - F.floor((F.col("_at") - 1) * F.col("_step") + F.col("_u")))
-    return x.withColumn("taken", (F.col("size") * F.col("copies")).cast("long")).select(*kept, "size", "source_size", "target", "copies", "taken")
+    return x.withColumn("taken", (F.col("size") * F.col("copies")).cast("long")).select("doc_id", "text", "source", "_row", *NEW)
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mix itself: each document as often as it is taken (none to ``most`` times, rounded up)."""
-    x = mix(folded(docs, "doc_id", "text", "source"), **how)
+    x = _mixed(folded(docs, "doc_id", "text", "source"), weights, share, most, seed)
     x = x.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return unfolded(x, docs.columns, "doc_id", "text", "source")
 
