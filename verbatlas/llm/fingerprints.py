@@ -18,8 +18,8 @@ from .hamming import near_components
 
 BITS = 128
 BYTES = BITS // 8
-#: What a term's vote weighs. Pairs of words tell texts apart more, but few bits of near copies then agree.
-WORD, PAIR = 2, 1
+#: What a term's vote weighs. With heavier single words texts of one language come within the radius by chance; with lighter ones near copies leave it.
+WORD, PAIR = 1, 2
 #: Fingerprints link within so many bits.
 NEAR = 7
 AT_ONCE = 1 << 16
