@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions import columns as c
 from verbatlas.operators import coverage, fill
-from verbatlas.queries import SAMPLE
 from verbatlas.sources import conllu, sinks
 from verbatlas.sources import tokens as src
 
+SAMPLE = "# a\n1-2\tShe's\t_\t_\t_\t_\t_\t_\t_\t_\n1\tShe\tshe\tPRON\t_\tCase=Nom\t2\tnsubj\t_\t_\n2\tput\tput\tVERB\t_\t_\t0\troot\t_\t_\n3\tit\tit\tPRON\t_\t_\t2\tobj\t_\t_\n4\ton\ton\tADP\t_\t_\t5\tcase\t_\t_\n5\tit\tit\tPRON\t_\t_\t2\tobl\t_\t_\n\n1\tGo\tgo\tVERB\t_\t_\t_\troot\t_\t_\n1.1\tx\tx\tX\t_\t_\t_\t_\t_\t_\n"
+
 
 def one(spark, column, **values):
     row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()], F.lit(0).alias("_"))
@@ -113,3 +114,43 @@ def test_filling_overwrites_nothing(spark):
     assert (got[3].part_of_speech, got[3].gra_relation, got[3].parse_source, got[3].stem) == ("VERB", "root", "stanza_gloss", "go")
     assert got[1].part_of_speech == "noun" and got[1].parse_source == "childesdb" and got[2].part_of_speech is None
     assert fill.parser_agreement(frame(spark), parser).first().pos_agreement == 0.0
+
+
+def test_parse_fill_skips_finished_corpora(spark, tmp_path):
+    """A corpus is parsed once, however often the command runs; with force again."""
+    import sys
+    import types
+    from verbatlas import cli
+
+    calls = tmp_path / "calls"
+    path = str(calls)
+
+    def parser(text):
+        with open(path, "a") as f:
+            f.write(text + "\n")
+        return [(w, "NOUN", k, 0, "dep", w) for k, w in enumerate(text.split(), 1)]
+
+    sys.modules["counting_parsers"] = types.SimpleNamespace(parser=parser)
+    row = lambda k, corpus: (k, k // 2, k, f"w{k}", None, None, None, None, None, None, "Eng-NA", corpus, "Child", "q", 700.0, 1)
+    names = "id long, utterance_id long, token_order long, gloss string, part_of_speech string, stem string, suffix string, gra_index long, gra_head long, gra_relation string, collection_name string, corpus_name string, speaker_role string, utterance_type string, target_child_age double, target_child_id long"
+    both = spark.createDataFrame([row(k, "A" if k < 4 else "B") for k in range(8)], names)
+    both.where("corpus_name = 'A'").write.parquet(f"{tmp_path}/a.parquet")
+    both.write.parquet(f"{tmp_path}/ab.parquet")
+
+    def run(name, *more):
+        a = cli.build_parser().parse_args(["parse-fill", "--tokens", f"{tmp_path}/{name}.parquet", "--out", f"{tmp_path}/out", "--parser", "counting_parsers:parser", *more])
+        a.run(spark, a)
+        n = len(calls.read_text().splitlines())
+        calls.write_text("")
+        return n
+
+    assert [run("a"), run("ab"), run("ab"), run("ab", "--force")] == [2, 2, 0, 4]
+    filled = spark.read.parquet(f"{tmp_path}/out/tokens_filled")
+    assert filled.count() == 8 and filled.where("part_of_speech = 'NOUN' and parse_source = 'stanza_gloss'").count() == 8
+
+
+def test_treebank_hits(spark, tmp_path):
+    from verbatlas.plans import studies
+
+    (tmp_path / "a.conllu").write_text(SAMPLE)
+    assert {(r.verb, r.construction, r.preposition) for r in studies.treebank_hits(spark, str(tmp_path)).where("not extra").collect()} == {("put", "VOL", "on")}

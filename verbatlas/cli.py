@@ -41,9 +41,17 @@ def run_coverage(spark, a):
 
 
 def run_parse_fill(spark, a):
-    filled = fill.fill_unparsed(tokens.load_file(spark, a.tokens), attribute(a.parser) if a.parser else None)
-    tokens.append_missing(filled, f"{a.out}/tokens_filled", a.force)
-    sinks.write_status({r["state"]: r["n_utterances"] for r in fill.fill_status(filled).collect()}, a.out, "parse_fill_status")
+    """Corpora that the dataset has are not parsed again; what is parsed is written before it is counted."""
+    out = f"{a.out}/tokens_filled"
+    parser = attribute(a.parser) if a.parser else None
+    todo = tokens.missing_corpora(tokens.load_file(spark, a.tokens), out, a.force)
+    names = sorted(r[0] for r in tokens.corpus_names(todo).collect())
+    before = {f"{r['state']}_before": r["n_utterances"] for r in fill.fill_status(todo).collect()}
+    if names:
+        tokens.corpora_written(fill.fill_unparsed(todo, parser), out)
+    done = tokens.corpora_read(spark, out, names) if names else None
+    after = {r["state"]: r["n_utterances"] for r in fill.fill_status(done).collect()} if names else {}
+    sinks.write_status(after | before | {"corpora": names}, a.out, "parse_fill_status")
 
 
 def run_extract(spark, a):

@@ -149,11 +149,11 @@ def merged_spans(spans: DataFrame) -> DataFrame:
     return spans.groupBy("child_id").agg(F.min("first_obs").alias("first_obs"), F.max("last_obs").alias("last_obs"), *([F.first("child_name", ignorenulls=True).alias("child_name")] if "child_name" in spans.columns else []))
 
 
-def model_curves(ranking: DataFrame) -> DataFrame:
-    """Mean score per epoch and verb, at the schematic grain (prepositions pooled) and per preposition."""
+def model_curves(ranking: DataFrame, pooled: bool = True) -> DataFrame:
+    """Mean score per epoch and verb, at the schematic grain (prepositions ``pooled``, or each apart) and per preposition."""
     x = ranking.withColumn("verb", F.lower("verb"))
     vac = c.construction_key("construction", F.lower("preposition"))
-    coarse = x.withColumns({"vac": F.col("construction"), "grain": F.lit("schematic"), "preposition": F.when(~F.col("construction").isin(*lx.LOCATIVE), F.col("preposition"))})
+    coarse = x.withColumns({"vac": F.col("construction"), "grain": F.lit("schematic"), "preposition": F.when(~F.col("construction").isin(*lx.LOCATIVE), F.col("preposition")) if pooled else F.col("preposition")})
     fine = x.withColumns({"vac": vac, "grain": F.lit("prep")}).where("vac <> construction")
     both = coarse.unionByName(fine).withColumn("item", F.concat("vac", F.lit("|"), "verb"))
     return both.groupBy("track", "epoch", "vac", "verb", "item", "kind", "construction", "preposition", "grain").agg(F.avg("score").alias("score"))

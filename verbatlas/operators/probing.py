@@ -62,6 +62,27 @@ def masked_score(logits: np.ndarray, start: int, verb_ids: Sequence[int]) -> flo
     return float(np.mean([log_softmax(logits[start + k])[v] for k, v in enumerate(verb_ids)])) if len(verb_ids) else float("nan")
 
 
+def masked_scorer(encode: Callable[[str], Sequence[int]], predict: Callable[[list[int]], np.ndarray], mask: int) -> Scorer:
+    """A scorer for models that fill masks: ``encode`` gives ids, ``predict`` the logits of each place of a sentence of ids.
+
+    All pieces of the verb are masked together. A verb whose pieces are not found in the sentence is
+    scored by one mask at the place of its first piece, or where the word begins if not even that is there.
+    """
+
+    def score(sentence: str, verb: str) -> tuple[float, float]:
+        ids, own = list(encode(sentence)), list(encode(verb))
+        start = subsequence_start(ids, own) if own else None
+        if start is None:
+            before = len(encode(sentence[: max(verb_place(sentence, verb), 0)]))
+            own = own[:1]
+            start = ids.index(own[0]) if own and own[0] in ids else min(before, len(ids) - 1)
+        masked = ids[:start] + [mask] * len(own) + ids[start + len(own) :]
+        found = masked_score(predict(masked), start, own)
+        return found, found
+
+    return score
+
+
 def score_items(items: DataFrame, models: DataFrame, load: Loader) -> DataFrame:
     """harmony, verb span and score of every item under every model; a model's items go together, so that it is loaded once a task."""
     x = items.crossJoin(F.broadcast(models)).repartition("model_id").sortWithinPartitions("model_id")
@@ -119,7 +140,7 @@ def acquired(correlations: DataFrame, affinity: DataFrame) -> DataFrame:
     there = ~F.isnan("ci_low") & F.col("ci_low").isNotNull()
     follows = F.when(there, F.col("ci_low") > 0).otherwise((F.col("rho") > 0) & (F.col("p") < 0.05))
     x = correlations.where("predictor = 'frequency'").join(mean, keys, "left")
-    return x.select(*keys, F.col("rho").alias("rho_frequency"), F.col("ci_low").alias("rho_ci_low"), "mean_affinity", (F.coalesce(follows, F.lit(False)) & F.coalesce(F.col("mean_affinity") > 0, F.lit(False))).alias("acquired"))
+    return x.select(*keys, F.col("rho").alias("rho_frequency"), F.col("ci_low").alias("rho_ci_low"), "mean_affinity", "sem_affinity", "n_affinity", (F.coalesce(follows, F.lit(False)) & F.coalesce(F.col("mean_affinity") > 0, F.lit(False))).alias("acquired"))
 
 
 def compare_orders(child_order: DataFrame, model_order: DataFrame) -> DataFrame:

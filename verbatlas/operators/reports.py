@@ -25,7 +25,7 @@ def first_production(summary: DataFrame, times: DataFrame) -> DataFrame:
 
 def km_table(summary: DataFrame, order: DataFrame) -> DataFrame:
     """Medians with intervals as text: ``a–b``, an open end, or none; verbs with their counts of tokens."""
-    one = lambda n: F.format_string("%.1f", n)
+    one = lambda n: F.when(F.col(n).isNotNull(), F.format_string("%.1f", n))
     interval = F.when(F.col("km_ci_low").isNull(), "—").when(F.col("km_ci_high").isNull(), F.concat(F.lit("≥ "), one("km_ci_low"))).otherwise(F.concat(one("km_ci_low"), F.lit("–"), one("km_ci_high")))
     tokens = order.select("vac", "verb", "n_tokens")
     return summary.join(tokens, ["vac", "verb"]).select("vac", "verb", F.format_number("n_tokens", 0).alias("tokens"), F.coalesce(one("km_median"), F.lit("not reached")).alias("median"), interval.alias("interval"), "n_event", "n_risk")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
 from ..operators import acquisition as aq
 from ..operators import contingency as ct
 from ..operators import probing, survival
-from ..operators.extract import explode_strata
+from ..operators.extract import explode_strata, extract
+from ..sources import conllu
 from ..sources.sinks import write_status, write_tables
 
 
@@ -46,6 +47,11 @@ def acquisition(hits: DataFrame, ranking: DataFrame | None = None, spans: DataFr
     return out
 
 
+def treebank_hits(spark: SparkSession, path: str, extractor: str = "ud") -> DataFrame:
+    """Constructions of the CoNLL-U files at ``path``."""
+    return extract(conllu.read(spark, path), extractor)
+
+
 def saved(tables: dict[str, DataFrame], folder: str, prefix: str) -> dict[str, int]:
     """Write tables and a status file of their counts."""
     counts = write_tables(tables, folder, prefix)

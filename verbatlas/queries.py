@@ -12,11 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import lexicon as lx
 from .functions import columns as c
 from .operators import acquisition as aq
 from .operators import contingency as ct
 from .operators import coverage, extract, fill, probing, qc, reports, survival
-from .sources import conllu
 from .sources import tokens as src
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,16 +158,6 @@ def utterance_states(spark: SparkSession, d: str) -> DataFrame:
     return fill.fill_status(o)
 
 
-@query("""
-select o_orderkey, o_custkey, o_orderstatus, o_totalprice, c_mktsegment, c_nationkey from orders left join customer on o_custkey = c_custkey
-where o_orderpriority in ('1-URGENT', '2-HIGH') and o_totalprice >= 365.25 * 12 and o_totalprice < 365.25 / 12 * 72 * 1000
-""")
-def token_scan_left_join(spark: SparkSession, d: str) -> DataFrame:
-    o, cu = table(spark, d, "orders"), table(spark, d, "customer")
-    x = o.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("o_totalprice") >= 365.25 * 12) & (F.col("o_totalprice") < 365.25 / 12 * 72 * 1000))
-    return x.join(cu, x["o_custkey"] == cu["c_custkey"], "left").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "c_mktsegment", "c_nationkey")
-
-
 @query("""
 with a as (select case when l_quantity * 30 > 120 then l_quantity * 30 / (365.25::double / 12) else l_quantity * 30 end as age from lineitem)
 select cast(least(greatest(floor((age - 12) / 3) * 3 + 12, 12), 69) as int) as age_months, count(*) as exposure_tokens from a group by 1
@@ -206,12 +196,6 @@ def drop_unparsed_corpora(spark: SparkSession, d: str) -> DataFrame:
     return coverage.drop_unparsed(p, cov, 0.5).select("p_partkey", "corpus_name")
 
 
-@query("select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)")
-def corpus_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    cu, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 300000")
-    return cu.join(o, cu["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", "c_name")
-
-
 @query("select count(*) as n, count(*) filter (value is null) as n_null_age, min(value) as min_age, max(value) as max_age, count(*) filter (event_type in (select min(event_type) from events)) as n_cds_roles from events")
 def corpus_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
@@ -401,7 +385,7 @@ def merged_spans(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def km_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    return survival.aoa_summary(event_times(spark, d), n_boot=200)
+    return survival.aoa_summary(event_times(spark, d))
 
 
 @query("""
@@ -426,15 +410,13 @@ select construction, round(corr(x, y), 9) as rho, count(*) as n from r group by
 """)
 def spearman(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "events").groupBy(F.col("event_type").alias("construction"), "user_id").agg(F.count("*").cast("double").alias("a"), F.sum("value").alias("b"))
-    rank = lambda v: F.rank().over(Window.partitionBy("construction").orderBy(v)) + (F.count("*").over(Window.partitionBy("construction", v)) - 1) / 2
-    x = u.withColumns({"x": rank("a"), "y": rank("b")})
-    return rounded(x.groupBy("construction").agg(F.corr("x", "y").alias("rho"), F.count("*").alias("n")), "rho")
+    return rounded(probing.spearman_groups(u, ["construction"], "a", "b", 0).select("construction", "rho", "n"), "rho")
 
 
 @query()
 def spearman_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "events").groupBy(F.col("event_type").alias("construction"), "user_id").agg(F.count("*").cast("double").alias("a"), F.sum("value").alias("b"))
-    return probing.spearman_groups(u, ["construction"], "a", "b", 200)
+    return probing.spearman_groups(u, ["construction"], "a", "b")
 
 
 PAIR_SQL = f"""with h as ({HITS_SQL}), f as (select construction as vac, verb, count(*) filter ({CHILD} and target_child_age < 36) as cf, count(*) filter (speaker_role in ('Mother', 'Father') and target_child_age < 37) as pf from h where construction in ('VO', 'VOO') and not extra group by all)"""
@@ -455,20 +437,21 @@ def ols_three_predictors(spark: SparkSession, d: str) -> DataFrame:
     return ct.parent_child(occ)
 
 
-@query("""
-with fr as (select * from (values ('a', 'VO', 'She {verb} it.'), ('b', 'VL', 'He {verb} to it.')) t(item_id, construction, template)),
-vs as (select distinct case when p_size > 25 then 'VO' else 'VL' end as construction, split_part(p_name, ' ', 1) as verb from part)
-select item_id, construction, verb, replace(template, '{verb}', verb) as sentence from fr join vs using (construction)
-""")
-def frames_by_verbs(spark: SparkSession, d: str) -> DataFrame:
-    fr = spark.createDataFrame([("a", "VO", "She {verb} it."), ("b", "VL", "He {verb} to it.")], "item_id string, construction string, template string")
-    vs = table(spark, d, "part").select(F.when(F.col("p_size") > 25, "VO").otherwise("VL").alias("construction"), F.split("p_name", " ")[0].alias("verb")).distinct()
-    return vs.join(F.broadcast(fr), "construction").select("item_id", "construction", "verb", F.replace("template", F.lit("{verb}"), F.col("verb")).alias("sentence"))
+def values_sql(rows, names: str) -> str:
+    """Rows of constants as SQL."""
+    text = lambda v: "null" if v is None else "'" + str(v).replace("'", "''") + "'"
+    return f"(values {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({names})"
+
 
+VERB_SETS = [(k, v, kind) for kind, sets in (("occupant", lx.OCCUPANTS), ("distractor", lx.DISTRACTORS)) for k, vs in sets.items() for v in vs]
 
-@query("select 314 as n_items, 4 as n_constructions, 2 as n_kinds")
+
+@query(f"""
+with fr as (select * from {values_sql(lx.FRAMES, 'item_id, construction, preposition, template')}), vs as (select * from {values_sql(VERB_SETS, 'construction, verb, kind')})
+select item_id, construction, preposition, verb, kind, replace(template, '{{verb}}', verb) as sentence from fr join vs using (construction)
+""")
 def item_bank(spark: SparkSession, d: str) -> DataFrame:
-    return probing.item_bank(spark).agg(F.count("*").cast("int").alias("n_items"), F.countDistinct("construction").cast("int").alias("n_constructions"), F.countDistinct("kind").cast("int").alias("n_kinds"))
+    return probing.item_bank(spark)
 
 
 SCORES_SQL = """sc as (select 't' as track, extract(day from ts)::int as epoch, event_type as vac, 'u' || cast(user_id % 30 as varchar) as verb, case when user_id % 30 < 20 then 'occupant' else 'distractor' end as kind, avg(value) as score from events group by all)"""
@@ -490,14 +473,14 @@ def model_acquire_epoch(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with r as (select event_type as construction, avg(value) as rho, min(value) - 5 as ci_low from events group by 1), a as (select event_type as construction, avg(value - 50) as mean_affinity from events group by 1)
-select construction, round(rho, 9) as rho_frequency, round(ci_low, 9) as rho_ci_low, round(mean_affinity, 9) as mean_affinity, ci_low > 0 and mean_affinity > 0 as acquired from r join a using (construction)
+with r as (select event_type as construction, avg(value) as rho, min(value) - 5 as ci_low from events group by 1), a as (select event_type as construction, avg(value - 50) as mean_affinity, stddev_samp(value - 50) / sqrt(count(*)) as sem, count(*) as n_affinity from events group by 1)
+select construction, round(rho, 9) as rho_frequency, round(ci_low, 9) as rho_ci_low, round(mean_affinity, 9) as mean_affinity, round(sem, 6) as sem_affinity, n_affinity, ci_low > 0 and mean_affinity > 0 as acquired from r join a using (construction)
 """)
 def acquired_flag(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.lit("t").alias("track"), F.lit(1).alias("epoch"), F.col("event_type").alias("construction"), "value")
     corr = e.groupBy("track", "epoch", "construction").agg(F.lit("frequency").alias("predictor"), F.avg("value").alias("rho"), (F.min("value") - 5).alias("ci_low"), F.lit(0.01).alias("p"))
     x = probing.acquired(corr, e.withColumn("affinity", F.col("value") - 50))
-    return rounded(x.drop("track", "epoch"), "rho_frequency", "rho_ci_low", "mean_affinity")
+    return rounded(x.drop("track", "epoch"), "rho_frequency", "rho_ci_low", "mean_affinity").withColumn("sem_affinity", F.round("sem_affinity", 6))
 
 
 @query(f"""
@@ -600,14 +583,6 @@ def pos_agreement(spark: SparkSession, d: str) -> DataFrame:
     return fill.pos_agreement(o, "gold", "pred", "k")
 
 
-SAMPLE = "# a\n1-2\tShe's\t_\t_\t_\t_\t_\t_\t_\t_\n1\tShe\tshe\tPRON\t_\tCase=Nom\t2\tnsubj\t_\t_\n2\tput\tput\tVERB\t_\t_\t0\troot\t_\t_\n3\tit\tit\tPRON\t_\t_\t2\tobj\t_\t_\n4\ton\ton\tADP\t_\t_\t5\tcase\t_\t_\n5\tit\tit\tPRON\t_\t_\t2\tobl\t_\t_\n\n1\tGo\tgo\tVERB\t_\t_\t_\troot\t_\t_\n1.1\tx\tx\tX\t_\t_\t_\t_\t_\t_\n"
-
-
-@query()
-def conllu_parse(spark: SparkSession, d: str) -> DataFrame:
-    return conllu.parse(spark.createDataFrame([("a", SAMPLE)], "path string, text string"))
-
-
 @query()
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
@@ -633,3 +608,6 @@ select vac, verb, time, bin, row_number() over (partition by vac, verb, bin orde
 def swarm_positions(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.lit("VO").alias("vac"), F.col("event_type").alias("verb"), F.col("value").alias("time"), F.col("user_id").alias("child_id"), F.lit(1).alias("event"))
     return reports.swarm(e)
+
+
+from . import linked_queries  # noqa: E402, F401  adds its own to QUERIES and ORACLES

@@ -97,12 +97,25 @@ def corpora_read(spark: SparkSession, path: str, corpora: Sequence[str] | None =
     return x.where(F.col("corpus_name").isin(*corpora)) if corpora else x
 
 
+def missing_corpora(tokens: DataFrame, path: str, force: bool = False) -> DataFrame:
+    """Tokens of the corpora that the dataset at ``path`` does not have yet; with ``force`` all."""
+    done = None if force else try_read(tokens.sparkSession, path + "/")
+    return tokens if done is None else tokens.join(done.select("corpus_name").distinct(), "corpus_name", "left_anti")
+
+
 def append_missing(tokens: DataFrame, path: str, force: bool = False) -> None:
     """Add the corpora that the dataset does not have yet, or with ``force`` replace them."""
-    spark = tokens.sparkSession
-    done = None if force else try_read(spark, path + "/")
-    new = tokens if done is None else tokens.join(done.select("corpus_name").distinct(), "corpus_name", "left_anti")
-    corpora_written(new, path)
+    corpora_written(missing_corpora(tokens, path, force), path)
+
+
+def corpora_by_size(coverage: DataFrame) -> DataFrame:
+    """Corpora with their tokens, the smallest first."""
+    return coverage.groupBy("corpus_name").agg(F.sum("n_tokens").alias("n_tokens")).orderBy("n_tokens", "corpus_name")
+
+
+def corpora_of(tokens: DataFrame) -> DataFrame:
+    """How many corpora each collection has, and their names in order."""
+    return tokens.groupBy("collection_name").agg(F.countDistinct("corpus_name").alias("n_corpora"), F.array_sort(F.collect_set("corpus_name")).alias("corpora"))
 
 
 def corpus_names(coverage: DataFrame) -> DataFrame:
