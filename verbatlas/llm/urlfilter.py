@@ -62,7 +62,7 @@ def rounds_for(tolerance: float, damping: float) -> int:
     return math.ceil(math.log(tolerance / 2) / math.log(damping))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 0.01, cut_every: int = 6) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = 0.7, tolerance: float = 0.01, cut_every: int = 6) -> DataFrame:
     """``(host, trust, distrust)``: personalised PageRank from ``seeds(host, good, bad)``.
 
     Trust follows the edges from the trusted seeds, distrust runs against them from the blocked
