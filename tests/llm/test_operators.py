@@ -124,6 +124,15 @@ def test_tokenizers_agree_on_any_text(text):
 TOKENIZER, BYTE_TOKENIZER = Tokenizer.from_file(WORDS), Tokenizer.from_file(BYTES)
 
 
+def test_tokenizers_agree_on_code_points():
+    """A code point between a letter and a number, apart, and in upper case: all up to 0x2000, then every thirteenth."""
+    points = [c for c in [*range(0x2000), *range(0x2000, 0x40000, 13)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}1 {chr(c)}b'{chr(c).upper()}" for c in points]
+    v = wordtable.opened(WORDS)
+    assert [[k for w in v.words(t) for k in v.encoded(w)] for t in texts] == [e.ids for e in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
+    assert tokencount.counts(texts, BYTES) == [len(e.ids) for e in BYTE_TOKENIZER.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_piece_machine_small_tables(monkeypatch):
     monkeypatch.setattr(tokencount, "PIECES", 20)
     monkeypatch.setattr(tokencount, "STATES", 50)
