@@ -16,6 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts the same.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Edges that one task of a round of ``components`` takes.
+EDGES_A_TASK = 1 << 18
+
 
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
@@ -50,11 +53,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A table written to the shared folder and read back, and its path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -66,21 +79,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): the edges of a round
     number no more than the nodes and edges before it, minima are combined before they are
-    shuffled, and the rounds grow with the logarithm of the longest path. Nulls are no nodes.
+    shuffled, and the rounds grow with the logarithm of the longest path. Each round is a table,
+    which goes when the next is there; its tasks are as many as its edges need, as there are
+    often few edges and many shuffle partitions. Nulls are no nodes.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    spark = edges.sparkSession
+    e, path = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    state, before = (e.count(), None), None
+    while state != before:
+        tasks = max(spark.sparkContext.defaultParallelism, -(-state[0] // EDGES_A_TASK))
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        low = e.join(least, "a")
-        e = cut(low.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks).distinct().coalesce(tasks)
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        old = path
+        e, path = stored(small.coalesce(tasks).distinct().coalesce(tasks), "links")
+        state, before = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()), state
+        removed(spark, old)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select("b", "b").distinct())
 
 
