@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +117,31 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidy() -> None:
+    """Give free memory back to the system: a Python worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(work: Callable) -> Callable:
+    """``work``, with a ``tidy()`` when it is done: after its last batch, or after the table of a group."""
+
+    @wraps(work)
+    def batches(own: Iterator) -> Iterator:
+        yield from work(own)
+        tidy()
+
+    @wraps(work)
+    def group(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(left, right)
+        tidy()
+        return out
+
+    return group if len(signature(work).parameters) == 2 else batches
+
+
 def folded(docs: DataFrame, *apart: str) -> DataFrame:
     """The columns ``apart``, and the others as one struct ``_row``, out of reach of an operator's own names."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in apart]

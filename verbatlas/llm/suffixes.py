@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded, partitions, small_batches, unfolded, utf8, written
+from .common import folded, partitions, small_batches, tidied, unfolded, utf8, written
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
@@ -503,15 +503,15 @@ def keyed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 def spans(rows: DataFrame) -> DataFrame:
     """``(k1, k2, spans)`` of keyed rows: what is repeated, as lists of from, to, from, to; or -1, -1 for the whole row."""
     parts, limits = partitions(rows.sparkSession), (CROWD, LOCAL, RUN)
-    anchored = written(rows.select("text", "k1", "k2").mapInArrow(_anchor_rows, ANCHORS), "anchors")
+    anchored = written(rows.select("text", "k1", "k2").mapInArrow(tidied(_anchor_rows), ANCHORS), "anchors")
     found = anchored.select("k1", "k2", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("x.grams", "k1", "k2", "x.places")
     grams = written(found.groupBy("grams").agg(F.count("*").alias("n")).where("n > 1").select("grams", (F.col("n") > CROWD).cast("long").alias("crowd")), "grams")
     # a place's lowest bit tells whether its gram is crowded
     lists = found.join(grams, "grams").groupBy("k1", "k2").agg(F.collect_list(F.col("places").bitwiseOR(F.col("crowd"))).alias("places"))
     # rows with all their columns, so that the last join can use this exchange again
-    out = rows.join(lists, ["k1", "k2"]).mapInArrow(_run_rows(parts, limits), ROWS)
+    out = rows.join(lists, ["k1", "k2"]).mapInArrow(tidied(_run_rows(parts, limits)), ROWS)
     for levels in ((0, 1), (2,)):
-        out = out.repartitionById(parts, "part").mapInArrow(_merged_rows(parts, levels, limits), ROWS)
+        out = out.repartitionById(parts, "part").mapInArrow(tidied(_merged_rows(parts, levels, limits)), ROWS)
     again = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where(f"n > 1 and size >= {LENGTH}")
     whole = F.array(F.lit(-1), F.lit(-1)).cast("array<long>")
     out = out.select("k1", "k2", "spans").union(again.select("k1", "k2", whole.alias("spans")))
@@ -550,7 +550,7 @@ def removed(docs: DataFrame, extra: tuple[str, ...] = (), texts: bool = False) -
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[b.column(c) for c in extra], *columns, *([pa.array([x[0].decode("utf-8", "ignore") for x in out], pa.string())] if texts else [])], names)
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in ("doc_id", *extra)] + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept string"] * texts)
-    return rows.join(found, ["k1", "k2"], "left").drop("k1", "k2").mapInArrow(cut, schema)
+    return rows.join(found, ["k1", "k2"], "left").drop("k1", "k2").mapInArrow(tidied(cut), schema)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_kind, partitions, small_batches
+from .common import arrow_kind, partitions, small_batches, tidied
 from .tokencount import byte_letters
 
 #: Characters after which a block ends; a longer text is a block of its own.
@@ -273,6 +273,6 @@ def encoded(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True)
             "decoded_sha256": pa.array([digest(x.encode("utf-8", "surrogatepass")) for x in out[2]], pa.string())} | (
             {"ids": pa.array([np.frombuffer(x, "<i4") for x in out[1]], pa.list_(pa.int32()))} if with_ids else {}) | ({"decoded": pa.array(out[2], pa.string())} if decoded else {}))
 
-    answers = docs.mapInArrow(word_rows, "block long, bucket int, words binary, check binary").groupBy("bucket").applyInPandas(encode_bucket, "block long, bucket int, ids binary, check binary")
-    sequences = docs.mapInArrow(sequence_rows, f"block long, doc_ids array<{kind}>, lengths array<long>, sequence binary, places binary, check binary")
-    return sequences.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(joined, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * decoded)
+    answers = docs.mapInArrow(tidied(word_rows), "block long, bucket int, words binary, check binary").groupBy("bucket").applyInPandas(encode_bucket, "block long, bucket int, ids binary, check binary")
+    sequences = docs.mapInArrow(tidied(sequence_rows), f"block long, doc_ids array<{kind}>, lengths array<long>, sequence binary, places binary, check binary")
+    return sequences.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(tidied(joined), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * decoded)
