@@ -288,6 +288,20 @@ def test_forest_isolates():
     assert f.score(np.array([[7.0, 7.0]]))[0] > f.score(rows).max()
 
 
+def test_quality_model_counts_all_labelled_rows(spark):
+    rng = random.Random(3)
+    texts = {d: " ".join(rng.choice(("a", "bcd", "#x", "efghij")) + str(rng.randrange(10**4)) for _ in range(50)) for d in range(6500)}
+    labels = spark.createDataFrame([(d, 1) for d in texts], "doc_id long, quality int")
+    model = quality.fitted(docs(spark, texts.values()), labels, trees=5)
+    half = {r.doc_id: r.h for r in labels.select("doc_id", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).alias("h")).collect()}
+    every = quality.features(np.array([quality.rule_counts(t) for t in texts.values()]))
+    grow, rest = (every[[half[d] == h for d in texts]] for h in (0, 1))
+    for g, forest, limit in model.parts:
+        want = quality.IsolationForest(grow[:, g], every[:, g].min(0), every[:, g].max(0), 5)
+        assert forest.rows == len(grow) and np.allclose(forest.paths, want.paths)
+        assert abs(limit - np.sort(want.score(rest[:, g]))[int(0.999 * len(rest))]) < 1e-8
+
+
 PAGES = [
     (1, "http://a.example.org/en/9", "<a href='http://b.example.net/'>x</a>" + "y" * 100), (2, "http://b.example.net/x?q#f", "z" * 150), (3, "HTTP://A.example.com/de/1", "z" * 150), (4, None, None), (5, "no scheme", "short"),
     (6, "https://example.org/es/", "short"), (7, "https://x.example.org/en/12", "é" * 60 + "\r\n\r\n"), (8, "http://c.example.net", "é" * 60 + "\r\n\r\n"), (9, "http://d\r\n.net/a b", "w" * 200), (3, "http://A.example.com/de/1", "z" * 150), (None, "http://n.net/", "z" * 150),

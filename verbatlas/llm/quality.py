@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folded, small_batches, tidied, unfolded
+from .common import folded, small_batches, tidied, unfolded, written
 
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 SPACES = re.compile(r"[\x20\x09-\x0D]")
@@ -60,16 +60,17 @@ def features(counts: np.ndarray) -> np.ndarray:
 class IsolationForest:
     """Random axis-parallel trees (Liu, Ting and Zhou, 2008); a short path marks an anomaly.
 
-    Trees grow from samples of ``rows``; splits are drawn over the box ``low`` to ``high``, which
-    may reach beyond the rows, so that regions where no row lies are cut off early.
+    Splits are drawn over the box ``low`` to ``high``, which may reach beyond the rows, so that
+    regions where no row lies are cut off early. As they don't depend on the rows, every tree counts
+    all rows, task by task (``leaves_of``, ``settle``), and the counts are scaled to those of
+    ``sample`` rows: what a sample of that size would have in a node in the mean, without drawing one.
     """
 
-    def __init__(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7):
-        self.size = min(sample, len(rows))
-        self.trees = []
-        for k in range(trees):
-            rng = np.random.default_rng([seed, k])
-            self.trees.append(self._grown(rows[rng.choice(len(rows), self.size, replace=False)], low, high, rng))
+    def __init__(self, rows: np.ndarray | None, low: np.ndarray, high: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7):
+        self.sample, self.depth = sample, int(np.ceil(np.log2(sample)))
+        self.trees = [self._drawn(low, high, np.random.default_rng([seed, k])) for k in range(trees)]
+        if rows is not None:
+            self.settle(np.array([np.bincount(x, minlength=1 << self.depth) for x in self.leaves_of(rows)]))
 
     @staticmethod
     def expected(n) -> np.ndarray:
@@ -77,34 +78,45 @@ class IsolationForest:
         n = np.asarray(n, float)
         return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
-    def _grown(self, rows: np.ndarray, low: np.ndarray, high: np.ndarray, rng) -> tuple[np.ndarray, ...]:
-        """feature (-1: leaf), split, left child (right is the next), path at a leaf."""
-        feature, split, left, path, todo, deepest = [-1], [0.0], [0], [0.0], [(0, rows, low, high, 0)], int(np.ceil(np.log2(max(self.size, 2))))
-        while todo:
-            node, x, lo, hi, depth = todo.pop()
-            wide = np.flatnonzero(hi > lo)
-            if depth == deepest or len(x) < 2 or not len(wide):
-                path[node] = depth + float(self.expected(len(x)))
-                continue
-            f = int(rng.choice(wide))
-            at = rng.uniform(lo[f], hi[f])
-            feature[node], split[node], left[node] = f, at, len(feature)
+    def _drawn(self, low: np.ndarray, high: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
+        """feature and split of each inner node; the children of node k are 2 k + 1 and 2 k + 2."""
+        inner = (1 << self.depth) - 1
+        feature, split, box = np.zeros(inner, int), np.zeros(inner), [(low, high)]
+        wide = np.flatnonzero(high > low)
+        for k in range(inner):
+            lo, hi = box[k]
+            f = int(rng.choice(wide)) if len(wide) else 0
+            feature[k], split[k] = f, rng.uniform(lo[f], hi[f])
             under, over = hi.copy(), lo.copy()
-            under[f] = over[f] = at
-            for part in ((x[x[:, f] <= at], lo, under), (x[x[:, f] > at], over, hi)):
-                todo.append((len(feature), *part, depth + 1))
-                feature.append(-1), split.append(0.0), left.append(0), path.append(0.0)
-        return np.array(feature), np.array(split), np.array(left), np.array(path)
+            under[f] = over[f] = split[k]
+            box += [(lo, under), (over, hi)]
+        return feature, split
+
+    def leaves_of(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """For each tree the leaf of each row."""
+        each = np.arange(len(rows))
+        for feature, split in self.trees:
+            node = np.zeros(len(rows), int)
+            for _ in range(self.depth):
+                node = 2 * node + 1 + (rows[each, feature[node]] > split[node])
+            yield node - len(feature)
+
+    def settle(self, counts: np.ndarray) -> None:
+        """Take the counts of all rows (trees x leaves): a leaf's path ends at the first node above it of less than two rows."""
+        self.rows = int(counts[0].sum())
+        self.size = min(self.sample, self.rows)
+        self.paths = np.full(counts.shape, -1.0)
+        for depth in range(self.depth + 1):
+            width = 1 << self.depth - depth
+            n = np.repeat(counts.reshape(len(counts), -1, width).sum(2), width, axis=1) * (self.size / max(self.rows, 1))
+            ends = (self.paths < 0) & ((n < 2) | (depth == self.depth))
+            self.paths[ends] = depth + self.expected(n[ends])
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """In (0, 1); over about 0.5 for anomalies."""
-        total, each = np.zeros(len(rows)), np.arange(len(rows))
-        for feature, split, left, path in self.trees:
-            node = np.zeros(len(rows), int)
-            while (inner := feature[node] >= 0).any():
-                f = feature[node]
-                node = np.where(inner, left[node] + (rows[each, np.maximum(f, 0)] > split[node]), node)
-            total += path[node]
+        total = np.zeros(len(rows))
+        for leaf, path in zip(self.leaves_of(rows), self.paths, strict=True):
+            total += path[leaf]
         return 2.0 ** (-total / len(self.trees) / max(float(self.expected(self.size)), 1e-9))
 
 
@@ -123,33 +135,63 @@ def counted(docs: DataFrame) -> DataFrame:
 class Model:
     """A forest and a threshold for each group of statistics."""
 
-    def __init__(self, grow: np.ndarray, good: np.ndarray, every: np.ndarray, good_kept: float, trees: int):
-        self.parts = []
-        for g in map(list, GROUPS):
-            forest = IsolationForest(grow[:, g], every[:, g].min(0), every[:, g].max(0), trees)
-            scores = np.sort(forest.score(good[:, g]))
-            self.parts.append((g, forest, float(scores[min(len(scores) - 1, int(good_kept * len(scores)))]) + 1e-9))
+    def __init__(self, forests: list[IsolationForest], limits: list[float]):
+        self.parts = list(zip(map(list, GROUPS), forests, limits, strict=True))
 
     def anomaly(self, rows: np.ndarray) -> np.ndarray:
         """The largest excess of a score over its threshold: over zero for an anomaly."""
         return np.max([forest.score(rows[:, g]) - limit for g, forest, limit in self.parts], axis=0)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, rows: int = 6000, good_kept: float = 0.999, trees: int = 100) -> Model | None:
-    """Forests and thresholds from at most ``rows`` labelled documents, those with the least hash.
+def _features_of(b: pa.RecordBatch) -> np.ndarray:
+    return features(np.array([b.column(c).to_numpy(zero_copy_only=False) for c in COUNTS], np.int64).T)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, good_kept: float = 0.999, trees: int = 100) -> Model | None:
+    """Forests and thresholds from all labelled documents.
 
     Half of the rows of quality 1 grow the trees, the other half calibrates: a threshold is the
     score under which ``good_kept`` of them stay. Rows of other quality widen the box of splits.
+    Tasks count and score the rows; the driver gets the counts of the leaves and the highest scores.
     None if there is too little to learn from.
     """
     some = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    x = counted(docs.join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).join(F.broadcast(some), "doc_id")
-    x = np.array([list(map(int, r)) for r in x.orderBy("doc_id").select(F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)), "quality", *COUNTS).collect()], np.int64).reshape(-1, 7)
-    x = x[~base_failed(x[:, 2:])]
-    every, good = features(x[:, 2:]), x[:, 1] == 1
-    grow, rest = every[good & (x[:, 0] == 0)], every[good & (x[:, 0] == 1)]
-    return Model(grow, rest, every, good_kept, trees) if len(grow) >= 8 and len(rest) >= 8 else None
+    x = counted(docs).groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("x")).join(some, "doc_id")
+    x = x.select(F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).alias("half"), (F.col("quality") == 1).alias("good"), "x.*")
+    x = written(x.where(f"n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEATED_PERCENT} * n_words"), "quality-rows")
+    grow, rest = x.where("good and half = 0"), x.where("good and half = 1")
+    shares = [F.col(c) / F.col("n_words") for c in COUNTS[1:]]
+    n_grow, n_rest, *ends = x.agg(F.count_if(F.expr("good and half = 0")), F.count_if(F.expr("good and half = 1")), *map(F.min, shares), *map(F.max, shares)).first()
+    if n_grow < 8 or n_rest < 8:
+        return None
+    low, high = np.log10(np.array(ends) + 0.01).reshape(2, -1)
+    forests = [IsolationForest(None, low[list(g)], high[list(g)], trees) for g in GROUPS]
+    leaves = 1 << forests[0].depth
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(GROUPS) * trees, leaves), np.int64)
+        for b in batches:
+            f = _features_of(b)
+            for k, leaf in enumerate(leaf for g, forest in zip(GROUPS, forests, strict=True) for leaf in forest.leaves_of(f[:, list(g)])):
+                counts[k] += np.bincount(leaf, minlength=leaves)
+        tree, leaf = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(leaf), pa.array(counts[tree, leaf])], ["tree", "leaf", "n"])
+
+    found = grow.mapInArrow(tidied(grown), "tree long, leaf long, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(GROUPS), trees, leaves), np.int64)
+    counts.reshape(-1, leaves)[found["tree"].to_numpy(), found["leaf"].to_numpy()] = found["n"].to_numpy()
+    for forest, own in zip(forests, counts, strict=True):
+        forest.settle(own)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = _features_of(b)
+            yield pa.RecordBatch.from_arrays([pa.array(forest.score(f[:, list(g)])) for g, forest in zip(GROUPS, forests, strict=True)], names)
+
+    names = [f"s{k}" for k in range(len(GROUPS))]
+    scores = written(rest.mapInArrow(tidied(scored), ", ".join(f"{c} double" for c in names)), "quality-scores")
+    above = n_rest - min(n_rest - 1, int(good_kept * n_rest))
+    return Model(forests, [scores.select(c).orderBy(F.desc(c)).limit(above).agg(F.min(c)).first()[0] + 1e-9 for c in names])
 
 
 def judged(docs: DataFrame, labels: DataFrame, extra: tuple[str, ...] = (), **how) -> DataFrame:
