@@ -70,3 +70,30 @@ def test_clashing_ids(spark):
     docs = spark.createDataFrame([(d, t, "en", None, 0) for d, t in rows], DOC)
     assert sorted(((r.doc_id or 0), r.text) for r in near_copies.deduplicated(docs).collect()) == sorted([(0, a), (0, a), (1, a), (2, b), (3, c)])
     assert near_copies.deduplicated(docs.limit(0)).count() == 0 and near_copies.deduplicated(docs.withColumn("set", F.lit(1))).columns == [*docs.columns, "set"]
+
+
+def crowd(rng, n, edits):
+    """Copies of one text of 150 words, each with edits of its own."""
+    words = [f"w{k}" for k in range(150)]
+    return {d: " ".join(edited(words, edits(d), rng)) for d in range(n)}
+
+
+def test_crowd_makes_few_pairs(spark, monkeypatch):
+    rows, made, compared = crowd(random.Random(6), 300, lambda d: 1 + d % 9), [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, sets: made.append(pairs.count()) or compared(pairs, sets))
+    docs = spark.createDataFrame([(d, t, "en", None, 0) for d, t in rows.items()], DOC)
+    got = {r.doc_id for r in near_copies.deduplicated(docs).collect()}
+    assert got == kept(rows) and 150 < len(got) < 300
+    assert sum(made) < 20 * len(rows)
+
+
+def test_alike_sets_have_near_prints():
+    rng = random.Random(8)
+    for n in (10, 60, 400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        sets = [near_copies.shingle_set(" ".join(edited(words, rng.randrange(max(2, n // 60)), rng))) for _ in range(12)]
+        for a in sets:
+            for b in sets:
+                apart = sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(near_copies.print_of(a), near_copies.print_of(b), strict=True))
+                assert apart <= near_copies.WIDE or not near_copies.alike(a, b)
+        assert not any(p in (0, -1) for p in near_copies.print_of(sets[0]))

@@ -1,7 +1,14 @@
-"""Near copies: texts whose sets of five-word shingles are alike to 0.8 (Jaccard)."""
+"""Near copies by SimHash: texts whose sets of five-word shingles are alike to 0.8 (Jaccard).
+
+A set has a SimHash print of 128 bits. Tables bring prints together that may be near: the block
+tables of ``hamming``, and bands of minima, as near copies differ in some 20 bits, for which blocks
+would be too short. Prints of a bucket are compared by bit planes; pairs within ``WIDE`` bits are
+then compared by their whole sets, which decide.
+"""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +18,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, small_batches, tidied, utf8, written
+from .hamming import block_keys, sliced_links
+from .simhash_dedup import majority
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Sets alike in 0.8 differ in 19 of 128 bits in the mean, with a deviation of 4; unlike ones in 64.
+WIDE = 44
 #: A pair meets if all minima of one band are equal: at 0.8 all but (1 - 0.8**5)**30 = 7 pairs of a million do, above it more.
 BANDS, ROWS = 30, 5
-#: Keys of up to so many sets compare all pairs at once; larger ones go by hubs, eight times as many in each round.
+#: Buckets of up to so many prints are compared by bit planes in a task; larger ones, crowds, go by hubs, eight times as many in each round.
 SMALL = 32
 LANES = 64
+PLANE_LANES = 1 << 14
 AT_ONCE = 1 << 12
 _draws = np.random.default_rng(5)
 FLIPS = _draws.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
@@ -51,13 +63,46 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(low.reshape(BANDS, ROWS))], np.int64)
 
 
+def print_of(shingles: np.ndarray) -> tuple[int, int]:
+    """The SimHash of a set, 128 bits."""
+    more = shingles * np.uint64(0xC2B2AE3D27D4EB4F)
+    return majority(shingles), majority(more ^ (more >> np.uint64(31)))
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, keys = [], []
+        ids, keys, prints = [], [], []
         for t in b.column("text").to_pylist():
             x = shingle_set(t)
-            ids.append(set_id(x)), keys.append(band_keys(x))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "set", "keys"])
+            ids.append(set_id(x)), keys.append(band_keys(x)), prints.append(print_of(x))
+        words = [pa.array(w, pa.int64()) for w in zip(*prints, strict=True)] or [pa.array([], pa.int64())] * 2
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *words], ["doc_id", "row", "set", "keys", "w0", "w1"])
+
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket whose prints are within ``WIDE``, by bit planes; rows are sorted by bucket."""
+    rest = None
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            rest = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            if len(rest) < PLANE_LANES:
+                continue
+        if rest is None or not len(rest):
+            continue
+        key, node = rest["key"].to_numpy(), rest["set"].to_numpy()
+        end = len(key) if b is None else int(np.flatnonzero(key == key[-1])[0])
+        prints = np.stack([rest[w].to_numpy()[:end].view(np.uint64) for w in ("w0", "w1")], 1)
+        rest = rest.slice(end)
+        i, k = sliced_links(prints, key[:end], WIDE)
+        yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[k])], ["hub", "node"])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]
+        if sets:
+            own = np.repeat(b.column("set").to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(sets))], ["set", "shingle"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,28 +144,51 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("hub", "lane").sortWithinPartitions("hub", "lane", F.col("hub") != F.col("node")).mapInArrow(tidied(_verified), "a long, b long")
 
 
+def crowded(crowds: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``crowds`` that may have an alike set there, with their ``size`` and ``common``.
+
+    ``common`` counts the shingles that any other set of the crowds has too: no two sets share more
+    than the lesser of theirs. A copy with many edits of its own thus meets nobody, whatever its crowd.
+    """
+    own = sets.join(crowds.select("set").distinct(), "set", "left_semi")
+    alone = own.mapInArrow(tidied(_shingles), "set long, shingle long").groupBy("shingle").agg(F.min("set").alias("set"), F.count("*").alias("n")).where("n = 1").groupBy("set").agg(F.count("*").alias("alone"))
+    size = (F.length("shingles") / 8).cast("long")
+    most = own.join(alone, "set", "left").select("set", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("common"))
+    return crowds.join(most.where(F.col("common") >= SIMILARITY * F.col("size") - 1e-6), "set")
+
+
 def set_components(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(set, component)`` of the sets that have an alike one, from ``members(key, set)`` of shared keys.
+    """``(set, component)`` of the sets that have an alike one, from ``members(key, set, w0, w1)`` of shared keys.
 
-    Every two sets of a key are compared unless links found before join them already, so a crowd
-    of near copies, which its first hubs join, makes few pairs.
+    Every two sets of a key meet, in small buckets by the bit planes of their prints, in crowds by
+    hubs unless links found before join them already or what they have in ``common`` with others is
+    too little; so a crowd of near copies, which its first hubs join, makes few pairs. Hubs are
+    those that have least of their own.
     """
-    found = None
+    members = written(members.withColumn("n", F.count("*").over(Window.partitionBy("key"))), "near-keys")
+    small = members.where(F.col("n") <= SMALL).select("key", "set", "w0", "w1")
+    pairs = small.repartition("key").sortWithinPartitions("key", "set").mapInArrow(tidied(_bucket_pairs), "hub long, node long").distinct()
+    found = written(components(verified(pairs, sets)).select(F.col("node").alias("set"), "component"), "near-found")
+    crowds = members.where(F.col("n") > SMALL).drop("n")
+    if crowds.isEmpty():
+        return found
+    members = crowded(crowds, sets)
     hubs = 1
     while True:
-        x = members
-        x = x.withColumn("label", F.col("set")) if found is None else x.join(found, "set", "left").select("key", "set", F.coalesce("component", "set").alias("label"))
+        x = members.join(found, "set", "left").withColumn("label", F.coalesce("component", "set")).drop("component")
         own = Window.partitionBy("key")
-        x = x.withColumns({"n": F.count("*").over(own), "low": F.min("label").over(own), "high": F.max("label").over(own), "rank": F.row_number().over(own.orderBy("set"))})
-        x = written(x.where("low <> high").select("key", "set", "label", "rank", F.when(F.col("n") <= SMALL, F.col("n")).otherwise(F.lit(hubs)).alias("hubs")), "near-keys")
-        heads = x.where("rank <= hubs").select("key", F.col("set").alias("hub"), F.col("label").alias("_label"), F.col("rank").alias("_rank"))
-        pairs = x.join(heads, "key").where("label <> _label and rank > _rank").select("hub", F.col("set").alias("node")).distinct()
-        links = verified(pairs, sets)
-        links = links if found is None else links.union(found.select("set", "component"))
-        found = written(components(links).select(F.col("node").alias("set"), "component"), "near-found")
-        members = x.where("rank > hubs").select("key", "set")
-        if members.isEmpty():
+        x = x.withColumns({"low": F.min("label").over(own), "high": F.max("label").over(own), "rank": F.row_number().over(own.orderBy(F.col("size") - F.col("common"), "set"))})
+        x = written(x.where("low <> high").drop("low", "high"), "near-crowds")
+        if x.isEmpty():
             return found
+        heads = x.where(F.col("rank") <= hubs).select("key", F.col("set").alias("hub"), *[F.col(c).alias(f"_{c}") for c in ("label", "rank", "size", "common", "w0", "w1")])
+        apart = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"_{w}"))) for w in ("w0", "w1"))
+        shared = F.least("common", "_common")
+        near = (apart <= WIDE) & (shared >= SIMILARITY * (F.col("size") + F.col("_size") - shared) - 1e-6)
+        pairs = x.join(heads, (x["key"] == heads["key"]) & (F.col("label") != F.col("_label")) & (F.col("rank") > F.col("_rank")) & near).select("hub", F.col("set").alias("node")).distinct()
+        links = verified(pairs, sets).union(found.select("set", "component"))
+        found = written(components(links).select(F.col("node").alias("set"), "component"), "near-found")
+        members = x.where(F.col("rank") > hubs).drop("label", "rank")
         hubs *= 8
 
 
@@ -128,9 +196,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs without those that have a near copy of a smaller doc_id.
 
     Near copies are texts that chains of pairs link, each alike in ``SIMILARITY`` of their
-    five-word shingles (A-Z lower-cased; told apart by 64 bits of hash). Candidates come from
-    bands of minima, which miss 7 in a million pairs at the threshold and fewer above it; each is
-    compared by its whole sets. Texts without words are copies of each other. Rows that repeat a
+    five-word shingles (A-Z lower-cased; told apart by 64 bits of hash). Candidates share a block
+    of their SimHash prints or a band of minima, which miss 7 in a million pairs at the threshold and
+    fewer above it; those with prints within ``WIDE`` bits are compared by their whole sets. Texts without words are copies of each other. Rows that repeat a
     doc_id are decided by their texts: of copies one stays, rows of different texts all stay; ties
     go by a hash of the row. Rows with a null doc_id stay and make no other row go.
     """
@@ -139,14 +207,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     ided = rows.where("doc_id is not null")
     texts = ided.select("doc_id", F.col("_row").alias("row"), "text")
     kind = dict(docs.dtypes)["doc_id"]
-    own = written(texts.mapInArrow(tidied(_keyed), f"doc_id {kind}, row long, set long, keys array<long>"), "near-copies")
-    keyed = own.select("set", F.explode("keys").alias("key"))
+    own = written(texts.mapInArrow(tidied(_keyed), f"doc_id {kind}, row long, set long, keys array<long>, w0 long, w1 long"), "near-copies")
+    keyed = own.where(F.size("keys") > 0).select("set", F.explode(F.concat("keys", F.array(*block_keys([F.col("w0")])))).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("key")
     members = written(keyed.join(shared, "key").select("key", "set").distinct(), "near-members")
     of_set = own.groupBy("set").agg(F.min(F.struct("doc_id", "row")).alias("x"))  # before any join, as many rows may share a set
     first = of_set.join(members.select("set").distinct(), "set").select("x.*")
     sets = written(texts.join(first, ["doc_id", "row"], "left_semi").mapInArrow(tidied(_sets), "set long, shingles binary").dropDuplicates(["set"]), "near-sets")
-    found = set_components(members, sets)
+    prints = own.groupBy("set").agg(F.min("w0").alias("w0"), F.min("w1").alias("w1"))
+    found = set_components(members.join(prints, "set"), sets)
     least = of_set.join(found, "set", "left").groupBy(F.coalesce("component", "set").alias("c")).agg(F.min("x").alias("x"))
     least = least.select("x.doc_id", F.col("x.row").alias("_row"))
     kept = ided.join(least, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
