@@ -68,6 +68,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)[0]
 
 
+def written_cleanly(df: DataFrame, name: str) -> DataFrame:
+    """``written``, after which the shuffle files that led to the table go at once, not when the driver collects garbage."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Remove a table that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_kind, packed, partitions, small_batches, unpacked, utf8, written
+from .common import arrow_kind, packed, partitions, small_batches, unpacked, utf8, written_cleanly
 
 #: Bytes of text after which a block ends; a longer text is a block of its own.
 BLOCK = 6_000_000
@@ -306,7 +306,7 @@ def scored(docs: DataFrame, fold: int = 2, folds: int = 7, weights: Sequence[flo
     empty = pa.table({"doc_id": pa.array([], id_kind), "held_out": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
     answer = "block long, bucket int, sizes array<long>, counts binary, digest long"
     counts = docs.mapInArrow(count_rows, "block long, bucket int, sizes array<long>, grams binary, counts binary, digest long")
-    sums = written(counts.groupBy("bucket").applyInArrow(added_up, answer + ", total long, kinds long"), "lm-counts")
+    sums = written_cleanly(counts.groupBy("bucket").applyInArrow(added_up, answer + ", total long, kinds long"), "lm-counts")
     n, v = sums.where("block = -1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     sequences = docs.mapInArrow(sequence_rows, f"block long, doc_ids array<{kind}>, lengths array<long>, sequence binary, hashes binary, digest long")
     answers = sums.where("block >= 0").drop("total", "kinds")
