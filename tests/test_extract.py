@@ -57,6 +57,31 @@ def test_linear_windows(spark):
     assert not any(h[0] in ("passive", "question") or h[2] == "VOO" for h in hits)
 
 
+def test_linear_windows_keep_tokens_as_rows(spark):
+    words = "put the cup on go to see it now".split()
+    tags = dict(zip(words, "verb det noun adp verb adp verb pron adv".split(), strict=True))
+    rows = spark.range(9 * 1000).selectExpr("id + 1 as n", f"array({', '.join(map(repr, words))})[id % 9] as gloss")
+    of = " ".join(f"when '{w}' then '{p}'" for w, p in tags.items())
+    df = rows.selectExpr("n as id", "'u' as utterance_id", "n as token_order", "gloss", f"case gloss {of} end as part_of_speech", "gloss as stem", "'' as suffix", "n as gra_index",
+                         "case gloss when 'cup' then n - 2 when 'it' then n - 1 else 0 end as gra_head", "if(gloss in ('cup', 'it'), 'obj', 'dep') as gra_relation")
+    hits = x.extract(df, "s74")
+    assert "collect_list" not in hits._jdf.queryExecution().executedPlan().toString()  # no row grows with its utterance
+    got = {(r.verb, r.construction, r.preposition): r["count"] for r in hits.groupBy("verb", "construction", "preposition").count().collect()}
+    assert got == {("put", "VOL", "on"): 1000, ("put", "VO", None): 1000, ("go", "VL", "to"): 1000, ("see", "VO", None): 1000}
+
+
+def test_linear_windows_tell_dependents_apart(spark):
+    rows = [  # u: the object before the verb is no neighbour; an indirect object rules VO out; the own head of a verb; a gap of four words
+        *[("u", *r) for r in [(1, "it", "pron", 2, "obj"), (2, "go", "verb", 2, "obj"), (3, "to", "adp", 0, "case"), (4, "eat", "verb", 0, "root"), (5, "him", "pron", 4, "iobj"), (6, "it", "pron", 4, "obj")]],
+        *[("v", *r) for r in [(1, "put", "verb", 0, "root"), (2, "a", "det", 0, "det"), (3, "b", "adj", 0, "amod"), (4, "c", "adj", 0, "amod"), (5, "d", "noun", 1, "obj"), (6, "on", "adp", 0, "case")]],
+        *[("w", *r) for r in [(1, "put", "verb", 0, "root"), (2, "a", "det", 0, "det"), (3, "b", "adj", 0, "amod"), (4, "d", "noun", 1, "obj"), (5, "on", "adp", 0, "case")]],
+        *[("x", *r) for r in [(1, "go", "noun", 0, "root"), (2, "to", "adp", 1, "case")]],
+    ]
+    df = spark.createDataFrame(rows, "utterance_id string, id long, gloss string, part_of_speech string, gra_head long, gra_relation string").selectExpr("*", "id as token_order", "if(utterance_id = 'x' and id = 1, 'Ger', '') as suffix")
+    assert found(x.extract(df, "s74")) == {("v", "put", "VO", None), ("w", "put", "VOL", "on"), ("w", "put", "VO", None)}
+    assert found(x.extract(df, "s74", require_verb=False)) >= {("x", "go", "VL", "to")}
+
+
 def test_unknown_extractor(spark):
     with pytest.raises(ValueError):
         x.extract(tokens(spark, "vl"), "other")

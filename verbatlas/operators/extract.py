@@ -1,12 +1,13 @@
 """Verb-argument constructions in dependency-parsed utterances, by higher-order functions.
 
-One shuffle brings an utterance's tokens together as an ordered array; all that follows is
-expressions over that array, one row per verb, without Python workers.
+One shuffle brings an utterance's tokens together, without Python workers. For the tree they are
+an ordered array, and all that follows is expressions over it, one row per verb; the linear
+extractor keeps a row per token and uses windows, so that no row grows with the utterance.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicon as lx
@@ -19,6 +20,19 @@ OPTIONAL = {
 }
 
 
+def tagged_tokens(tokens: DataFrame) -> DataFrame:
+    """Tokens of known utterances: place, tags and links in one spelling, and what tells of their utterance."""
+    meta = [m for m in META if m in tokens.columns]
+    x = with_defaults(tokens, **OPTIONAL)
+    source = F.col("parse_source") if "parse_source" in tokens.columns else F.lit("childesdb")
+    kind = F.lower(F.trim(F.col("utterance_type"))).isin(*lx.QUESTION_TYPES) | F.coalesce(F.lower(F.trim(F.col("type"))).isin(*lx.QUESTION_TYPES), F.lit(False))
+    return x.where(F.col("utterance_id").isNotNull()).select(
+        "utterance_id", F.col("token_order").cast("long").alias("at"), F.col("id").cast("long").alias("id"), c.norm_pos("part_of_speech").alias("pos"), c.norm_rel("gra_relation").alias("rel"),
+        c.lemma("stem", "gloss").alias("lemma"), F.coalesce(F.col("gra_index").try_cast("long"), F.col("id").cast("long")).alias("node"), F.col("gra_head").try_cast("long").alias("head"),
+        F.coalesce(F.col("suffix").contains("Ger"), F.lit(False)).alias("gerund"), (F.coalesce(F.trim("gloss"), F.lit("")) == "?").alias("mark"),
+        F.coalesce(kind, F.lower(F.trim(F.col("type"))).isin(*lx.QUESTION_TYPES), F.lit(False)).alias("asks"), source.alias("parse_source"), *meta)
+
+
 def utterances(tokens: DataFrame, require_verb: bool = True) -> DataFrame:
     """One row per utterance: ``ts``, its tokens in order, ``is_question``, ``parse_source`` and the meta columns of its first token.
 
@@ -26,15 +40,8 @@ def utterances(tokens: DataFrame, require_verb: bool = True) -> DataFrame:
     verb are left out, as flags of the same aggregation.
     """
     meta = [m for m in META if m in tokens.columns]
-    x = with_defaults(tokens, **OPTIONAL)
-    source = F.col("parse_source") if "parse_source" in tokens.columns else F.lit("childesdb")
-    token = F.struct(
-        F.col("token_order").cast("long").alias("at"), F.col("id").cast("long").alias("id"), c.norm_pos("part_of_speech").alias("pos"), c.norm_rel("gra_relation").alias("rel"),
-        c.lemma("stem", "gloss").alias("lemma"), F.coalesce(F.col("gra_index").try_cast("long"), F.col("id").cast("long")).alias("node"), F.col("gra_head").try_cast("long").alias("head"),
-        F.coalesce(F.col("suffix").contains("Ger"), F.lit(False)).alias("gerund"))
-    kind = F.lower(F.trim(F.col("utterance_type"))).isin(*lx.QUESTION_TYPES) | F.coalesce(F.lower(F.trim(F.col("type"))).isin(*lx.QUESTION_TYPES), F.lit(False))
-    first = F.struct(F.coalesce(kind, F.lower(F.trim(F.col("type"))).isin(*lx.QUESTION_TYPES), F.lit(False)).alias("asks"), source.alias("parse_source"), *[F.col(m) for m in meta])
-    g = x.where(F.col("utterance_id").isNotNull()).select("utterance_id", token.alias("t"), first.alias("first"), (F.coalesce(F.trim("gloss"), F.lit("")) == "?").alias("mark"))
+    token, first = F.struct("at", "id", "pos", "rel", "lemma", "node", "head", "gerund"), F.struct("asks", "parse_source", *meta)
+    g = tagged_tokens(tokens).select("utterance_id", token.alias("t"), first.alias("first"), "mark")
     g = g.groupBy("utterance_id").agg(
         F.array_sort(F.collect_list("t")).alias("ts"), F.min_by("first", F.struct("t.at", "t.id")).alias("first"), F.bool_or("mark").alias("mark"),
         F.bool_or(F.col("t.rel") != "").alias("parsed"), F.bool_or(F.col("t.pos").isin(*lx.VERB_POS)).alias("has_verb"))
@@ -111,39 +118,46 @@ def extract_ud(utts: DataFrame, stratum: str | None = None, extras: bool = True)
     return out
 
 
-def extract_linear(utts: DataFrame, stratum: str | None = None) -> DataFrame:
+def extract_linear(tokens: DataFrame, stratum: str | None = None, require_verb: bool = True) -> DataFrame:
     """Constructions from neighbouring words: a preposition next to the verb or after up to three noun-phrase words.
 
-    Two noun phrases in a row are one run of such words, so this extractor finds no VOO.
+    Two noun phrases in a row are one run of such words, so this extractor finds no VOO. Tokens stay
+    rows: one window, from an utterance's end, tells each the word that ends the noun phrases after
+    it (``stop``); another brings verbs and their dependents together.
     """
-    meta = [m for m in META if m in utts.columns]
+    meta = ["parse_source", *[m for m in META if m in tokens.columns]]
     vl, vol = c.prepositions("VL", stratum), c.prepositions("VOL", stratum)
-    ts = F.col("ts")
-    x = utts.where(~F.col("is_question")).select("*", F.posexplode("ts").alias("i", "v")).where(F.col("v.pos").isin(*lx.VERB_POS) | F.col("v.gerund"))
-    x = x.withColumn("kids", children(ts, F.col("v.node"))).where(~F.exists("kids", lambda k: k["rel"].isin(*lx.PASSIVE_RELS)))
-    ids = lambda a: F.transform(a, lambda t: t["id"])
-    end = F.array_min(F.array_compact(F.transform(ts, lambda t, k: F.when((k > F.col("i")) & ~t["pos"].isin(*lx.NP_POS), k))))
-    x = x.withColumns({"obj": ids(with_rels(F.col("kids"), lx.OBJ_RELS)), "iobj": ids(with_rels(F.col("kids"), lx.IOBJ_RELS)), "end": F.coalesce(end, F.size("ts"))})
-    at = lambda k: F.get(ts, F.col("i") + k)
-    after = lambda n: F.slice(ts, F.col("i") + 2, n)
-    adp = lambda k, preps: F.coalesce(at(k)["pos"].isin(*lx.ADP_POS) & at(k)["lemma"].isin(*preps), F.lit(False))
-    gaps = [F.when(adp(1 + n, vol) & F.forall(after(F.lit(n)), lambda t: t["pos"].isin(*lx.NP_POS)) & F.arrays_overlap(ids(after(F.lit(n))), F.col("obj")), at(1 + n)["lemma"]) for n in (1, 2, 3)]
-    x = x.withColumn("vol_prep", F.coalesce(*gaps))
-    run = after(F.greatest(F.col("end") - F.col("i") - 1, F.lit(0)))
+    pos, rel, known = F.col("pos"), F.col("rel"), F.col("pos").isin(*lx.ADP_POS) & F.col("lemma").isin(*vl, *vol)
+    role = F.when(rel.isin(*lx.PASSIVE_RELS), "passive").when(rel.isin(*lx.OBJ_RELS), "obj").when(rel.isin(*lx.IOBJ_RELS), "iobj")
+    verbal, is_np = pos.isin(*lx.VERB_POS) | F.col("gerund"), pos.isin(*lx.NP_POS)
+    x = tagged_tokens(tokens).select(
+        "utterance_id", "at", "id", "node", "head", verbal.alias("verbal"), is_np.alias("np"), role.alias("role"), F.when(verbal | known, F.col("lemma")).alias("lemma"), known.alias("known"),
+        (rel != "").alias("parsed"), pos.isin(*lx.VERB_POS).alias("verb"), "mark", "asks", *meta)
+    back = Window.partitionBy("utterance_id").orderBy(F.desc("at"), F.desc("id"), F.desc("node"))
+    after, whole = back.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    x = x.withColumns({"p": F.row_number().over(back), "ok": F.bool_or("parsed").over(whole), "verbs": F.bool_or("verb").over(whole), "asked": F.bool_or("mark").over(whole) | F.last("asks").over(whole)} | {m: F.last(m).over(whole) for m in meta})
+    x = x.withColumns({"stop": F.last(F.when(~F.col("np"), F.col("p")), True).over(after), "prep": F.last(F.when(~F.col("np"), F.when(F.col("known"), F.col("lemma")).otherwise("")), True).over(after)})
+    x = x.where("ok and not asked and (verbal or role is not null)" + " and verbs" * require_verb)
+    ends = F.array(F.struct(F.col("node").alias("key"), F.lit(False).alias("kid")), F.struct(F.col("head").alias("key"), F.lit(True).alias("kid")))
+    x = x.select("utterance_id", "p", "verbal", "lemma", "stop", "prep", "role", *meta, F.inline(ends)).where("if(kid, role is not null and key is not null, verbal)")
+    own = Window.partitionBy("utterance_id", "key").orderBy("p", "kid")
+    after, whole = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_kid = lambda role: F.col("kid") & F.coalesce(F.col("role") == role, F.lit(False))
+    x = x.withColumns({r: F.bool_or(is_kid(r)).over(whole) for r in ("passive", "obj", "iobj")} | {"next": F.last(F.when(is_kid("obj"), F.col("p")), True).over(after)})
+    gap, prep = F.col("p") - F.col("stop") - 1, F.col("prep")
     hits = [
-        hit(adp(1, vl) & (F.size("obj") == 0), "VL", at(1)["lemma"]), hit(F.col("vol_prep").isNotNull(), "VOL", F.col("vol_prep")),
-        hit(F.coalesce(F.arrays_overlap(ids(run), F.col("obj")), F.lit(False)) & (F.size("iobj") == 0), "VO"),
+        hit((gap == 0) & prep.isin(*vl) & ~F.col("obj"), "VL", prep), hit(gap.between(1, 3) & prep.isin(*vol) & (F.col("next") > F.col("stop")), "VOL", prep),
+        hit((F.col("next") > F.coalesce("stop", F.lit(0))) & ~F.col("iobj"), "VO"),
     ]
-    return emitted(x, hits, "s74", F.col("v.lemma"), meta)
+    return emitted(x.where("not kid and not passive"), hits, "s74", F.col("lemma"), meta[1:])
 
 
 def extract(tokens: DataFrame, extractor: str = "ud", stratum: str | None = None, extras: bool = True, require_verb: bool = True) -> DataFrame:
     """Hits of all utterances; ``extractor`` is ``ud`` (the tree) or ``s74`` (linear windows)."""
-    utts = utterances(tokens, require_verb)
     if extractor == "ud":
-        return extract_ud(utts, stratum, extras)
+        return extract_ud(utterances(tokens, require_verb), stratum, extras)
     if extractor == "s74":
-        return extract_linear(utts, stratum)
+        return extract_linear(tokens, stratum, require_verb)
     raise ValueError(extractor)
 
 

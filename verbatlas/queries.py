@@ -512,10 +512,11 @@ TAGS = {
 TAG_LIST = ", ".join(f"{v} as {k}" for k, v in TAGS.items())
 
 
-def line_tokens(spark: SparkSession, d: str) -> DataFrame:
+def line_tokens(spark: SparkSession, d: str, dealt: bool = False) -> DataFrame:
+    """Words of lines; ``dealt``: the lines are shuffled by utterance, so that what brings tokens together need not move words, which are many times as long."""
     docs = table(spark, d, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    x = lines.select(F.concat_ws("-", "doc_id", "line").alias("utterance_id"), F.posexplode(F.split("words", " ")).alias("p", "gloss"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words")).select(F.concat_ws("-", "doc_id", "line").alias("utterance_id"), "words")
+    x = (lines.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "utterance_id") if dealt else lines).select("utterance_id", F.posexplode(F.split("words", " ")).alias("p", "gloss"))
     x = x.selectExpr("utterance_id", "gloss", "p + 1 as ix", "char_length(gloss) as n").selectExpr("*", *[f"{v} as {k}" for k, v in TAGS.items()])
     return x.select("utterance_id", F.col("ix").cast("long").alias("id"), F.col("ix").cast("long").alias("token_order"), "gloss", F.col("pos").alias("part_of_speech"), "stem", F.lit("").alias("suffix"), F.col("ix").cast("long").alias("gra_index"), F.col("head").cast("long").alias("gra_head"), F.col("rel").alias("gra_relation"))
 
@@ -560,7 +561,7 @@ hits as (select stem as verb, 'VL' as construction, s1 as preposition from c whe
 select verb, construction, preposition, count(*) as n from hits group by all
 """)
 def s74_extract(spark: SparkSession, d: str) -> DataFrame:
-    return extract.extract(line_tokens(spark, d), "s74").groupBy("verb", "construction", "preposition").agg(F.count("*").alias("n"))
+    return extract.extract(line_tokens(spark, d, dealt=True), "s74").groupBy("verb", "construction", "preposition").agg(F.count("*").alias("n"))
 
 
 @query("""
