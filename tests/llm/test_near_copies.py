@@ -87,6 +87,29 @@ def test_crowd_makes_few_pairs(spark, monkeypatch):
     assert sum(made) < 20 * len(rows)
 
 
+def test_shared_edits_make_few_pairs(spark, monkeypatch):
+    rng, words = random.Random(7), [f"w{k}" for k in range(150)]
+    rows, made, compared = {}, [], near_copies.verified
+    for d in range(300):
+        at = set(rng.sample(range(150), d % 7))  # a place is always edited in the same way, so that few shingles are of one text alone
+        rows[d] = " ".join(f"new{k}" if k in at else w for k, w in enumerate(words))
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, sets: made.append(pairs.count()) or compared(pairs, sets))
+    docs = spark.createDataFrame([(d, t, "en", None, 0) for d, t in rows.items()], DOC)
+    got = {r.doc_id for r in near_copies.deduplicated(docs).collect()}
+    assert got == kept(rows) and 50 < len(got) < 250
+    assert sum(made) < 20 * len(rows)
+
+
+def test_sketches_never_differ_in_more_bits_than_sets_in_shingles():
+    rng = random.Random(9)
+    for n in (6, 150, 3000):
+        words = [f"w{k}" for k in range(n)]
+        a, b = (near_copies.shingle_set(" ".join(edited(words, k, rng))) for k in (0, 1 + n // 50))
+        bits = sum((int(x) & (1 << 64) - 1).bit_count() for x in near_copies.sketch(a) ^ near_copies.sketch(b))
+        assert 0 < bits <= len(set(a.tolist()) ^ set(b.tolist()))
+        assert not near_copies.sketch(a[:0]).any()
+
+
 def test_alike_sets_have_near_prints():
     rng = random.Random(8)
     for n in (10, 60, 400):

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, small_batches, tidied, utf8, written
@@ -29,8 +29,11 @@ BANDS, ROWS = 30, 5
 #: Buckets of up to so many prints are compared by bit planes in a task; larger ones, crowds, go by hubs, eight times as many in each round.
 SMALL = 32
 LANES = 64
+#: A sketch is the parities of a set's shingles by their last ten bits, in 16 words: two sets differ in as many shingles as their sketches in bits, or more.
+SKETCH = 1 << 10
 PLANE_LANES = 1 << 14
 AT_ONCE = 1 << 12
+PARITIES = [f"k{k}" for k in range(SKETCH // 64)]
 _draws = np.random.default_rng(5)
 FLIPS = _draws.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 FACTORS = _draws.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
@@ -105,6 +108,19 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate(sets))], ["set", "shingle"])
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles for each value of their last bits, as words of 64."""
+    odd = np.bincount((shingles & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in b.column("shingles").to_pylist()]
+        words = np.stack([sketch(x) for x in sets]).T if sets else np.zeros((SKETCH // 64, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("set"), pa.array([len(x) for x in sets], pa.int64()), *[pa.array(w) for w in words]], ["set", "size", *PARITIES])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingle_set(t) for t in b.column("text").to_pylist()]
@@ -145,24 +161,39 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def crowded(crowds: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows of ``crowds`` that may have an alike set there, with their ``size`` and ``common``.
+    """The rows of ``crowds`` that may have an alike set there, with their ``size``, ``common`` and the sketch of what is common.
 
     ``common`` counts the shingles that any other set of the crowds has too: no two sets share more
     than the lesser of theirs. A copy with many edits of its own thus meets nobody, whatever its crowd.
     """
     own = sets.join(crowds.select("set").distinct(), "set", "left_semi")
-    alone = own.mapInArrow(tidied(_shingles), "set long, shingle long").groupBy("shingle").agg(F.min("set").alias("set"), F.count("*").alias("n")).where("n = 1").groupBy("set").agg(F.count("*").alias("alone"))
-    size = (F.length("shingles") / 8).cast("long")
-    most = own.join(alone, "set", "left").select("set", size.alias("size"), (size - F.coalesce("alone", F.lit(0))).alias("common"))
+    alone = own.mapInArrow(tidied(_shingles), "set long, shingle long").groupBy("shingle").agg(F.min("set").alias("set"), F.count("*").alias("n")).where("n = 1")
+    bit, word = F.expr("shiftleft(1L, cast(shingle & 63 as int))"), F.col("shingle").bitwiseAND(F.lit(SKETCH - 1))
+    alone = alone.groupBy("set").agg(F.count("*").alias("alone"), *[F.bit_xor(F.when(word.between(64 * k, 64 * k + 63), bit)).alias(f"_{c}") for k, c in enumerate(PARITIES)])
+    none = F.lit(0).cast("long")
+    most = own.mapInArrow(tidied(_sketched), "set long, size long, " + ", ".join(f"{c} long" for c in PARITIES)).join(alone, "set", "left")
+    most = most.select("set", "size", (F.col("size") - F.coalesce("alone", none)).alias("common"), *[F.col(c).bitwiseXOR(F.coalesce(f"_{c}", none)).alias(c) for c in PARITIES])
     return crowds.join(most.where(F.col("common") >= SIMILARITY * F.col("size") - 1e-6), "set")
 
 
+def may_be_alike() -> Column:
+    """Whether a row and a hub (its columns begin with _) may be alike, by prints, by what they have in common at most and by what differs at least.
+
+    The shingles that one of two sets lacks are at most a ninth of both at a similarity of 0.8: all those that
+    no other set has, and of the rest at least as many as bits of the sketches differ. Only the prints can err.
+    """
+    differ = lambda names: sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"_{w}"))) for w in names)
+    both, shared = F.col("size") + F.col("_size"), F.least("common", "_common")
+    apart = both - F.col("common") - F.col("_common") + differ(PARITIES)
+    return (differ(("w0", "w1")) <= WIDE) & (shared >= SIMILARITY * (both - shared) - 1e-6) & (apart <= both * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6)
+
+
 def set_components(members: DataFrame, sets: DataFrame) -> DataFrame:
     """``(set, component)`` of the sets that have an alike one, from ``members(key, set, w0, w1)`` of shared keys.
 
     Every two sets of a key meet, in small buckets by the bit planes of their prints, in crowds by
-    hubs unless links found before join them already or what they have in ``common`` with others is
-    too little; so a crowd of near copies, which its first hubs join, makes few pairs. Hubs are
+    hubs unless links found before join them already or bounds tell that they are not alike
+    (``may_be_alike``); so a crowd of near copies, which its first hubs join, makes few pairs. Hubs are
     those that have least of their own.
     """
     members = written(members.withColumn("n", F.count("*").over(Window.partitionBy("key"))), "near-keys")
@@ -181,11 +212,8 @@ def set_components(members: DataFrame, sets: DataFrame) -> DataFrame:
         x = written(x.where("low <> high").drop("low", "high"), "near-crowds")
         if x.isEmpty():
             return found
-        heads = x.where(F.col("rank") <= hubs).select("key", F.col("set").alias("hub"), *[F.col(c).alias(f"_{c}") for c in ("label", "rank", "size", "common", "w0", "w1")])
-        apart = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"_{w}"))) for w in ("w0", "w1"))
-        shared = F.least("common", "_common")
-        near = (apart <= WIDE) & (shared >= SIMILARITY * (F.col("size") + F.col("_size") - shared) - 1e-6)
-        pairs = x.join(heads, (x["key"] == heads["key"]) & (F.col("label") != F.col("_label")) & (F.col("rank") > F.col("_rank")) & near).select("hub", F.col("set").alias("node")).distinct()
+        heads = x.where(F.col("rank") <= hubs).select("key", F.col("set").alias("hub"), *[F.col(c).alias(f"_{c}") for c in ("label", "rank", "size", "common", "w0", "w1", *PARITIES)])
+        pairs = x.join(heads, (x["key"] == heads["key"]) & (F.col("label") != F.col("_label")) & (F.col("rank") > F.col("_rank")) & may_be_alike()).select("hub", F.col("set").alias("node")).distinct()
         links = verified(pairs, sets).union(found.select("set", "component"))
         found = written(components(links).select(F.col("node").alias("set"), "component"), "near-found")
         members = x.where(F.col("rank") > hubs).drop("label", "rank")
